@@ -234,6 +234,8 @@ def test_word_encoder_is_the_library():
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randrange(9)))
         assert encoder.encode(text) == encoder.whole(text), repr(text)
+    texts = [" ".join(rng.choice(["it's", "we're", "x'll", "'dy", "'", "''t", "a1b22", "Über", "naïve!?", "\n", ""]) for _ in range(rng.randrange(30))) for _ in range(500)]
+    assert encoder.encode_many(texts) == [encoder.whole(x) for x in texts]
 
 
 def test_token_output_matches_the_library(spark, docs, rows, empty):
