@@ -1,6 +1,6 @@
 """WARC archives compressed record by record with a Zstandard dictionary embedded in a leading skippable frame.
 
-The dictionary is trained on a bounded sample of payloads (the rows of smallest hash, and of those the ones below a size).
+The dictionary is trained on a bounded sample of distinct payloads (those of smallest hash below a size).
 Each task writes files named after its attempt; only those that the finished job lists are read. Equal payloads of
 at least 100 bytes are stored once, as the response of the smallest page_id; the others become revisit records.
 
@@ -99,8 +99,11 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write the archives and return them: path, records, bytes."""
     prepare(pages.sparkSession)
-    small = pages.filter(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id", "html"), "page_id").limit(SAMPLE_PAGES)
-    trained = train_dictionary([r[0].encode() for r in small.select("html").collect()])
+    # First the hashes alone, so that the driver never gets the pages of all tasks; then the pages at or below the last.
+    small = pages.select("html", F.xxhash64("html").alias("h")).filter(F.octet_length("html").between(1, SAMPLE_BYTES))
+    hashes = [r.h for r in small.select("h").orderBy("h").limit(SAMPLE_PAGES).collect()]
+    chosen = small.filter(F.col("h") <= hashes[-1]).groupBy("h").agg(F.min("html").alias("html")).collect() if hashes else []
+    trained = train_dictionary([r.html.encode() for r in sorted(chosen, key=lambda r: r.h)])
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
 
