@@ -168,7 +168,9 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = distinct.sparkSession
     n = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
-    sample = [r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
+    # The smallest hashes; the filter leaves about twice the sample, so that no task sends much more than its share.
+    few = F.shiftrightunsigned(F.xxhash64("fp"), 1) <= min(2**63 - 1, int(2 * SAMPLE / max(1, n) * 2**63))
+    sample = [r[0] for r in distinct.filter(few).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
     tree = ShardTree(np.array(sample, np.int64).view(np.uint64), depth)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
