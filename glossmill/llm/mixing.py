@@ -118,7 +118,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with all columns: each row once for each epoch that takes it, whole; rows with a null doc_id are left out."""
     chosen = select_mix(counted(docs), **options).groupBy("doc_id").agg(F.countDistinct("epoch").alias("gm_times"))
     chosen = materialize(chosen, "mix-chosen")
-    out = docs.join(chosen, "doc_id").withColumn("gm_copy", F.explode(F.sequence(F.lit(1), F.col("gm_times").cast("int"))))
+    out = docs.join(chosen.hint("merge"), "doc_id").withColumn("gm_copy", F.explode(F.sequence(F.lit(1), F.col("gm_times").cast("int"))))
     return out.select(*docs.columns)
 
 

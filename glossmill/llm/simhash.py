@@ -252,7 +252,7 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
     groups = near_duplicate_groups(docs, **options)
     kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = materialize(kept, "simhash-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.filter("copies > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
