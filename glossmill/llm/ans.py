@@ -171,7 +171,8 @@ class WordEncoder:
     whole by the library.
     """
 
-    CACHE = 1_000_000
+    #: Words in the cache, and characters that are worked on at once.
+    CACHE, CHARS = 1_000_000, 1_500_000
     #: The characters that stand for bytes in byte-level vocabularies: the visible ones of Latin-1 stand for themselves, the others follow at 256.
     _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
     BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_VISIBLE}))}
@@ -216,7 +217,14 @@ class WordEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of the encoder's width."""
         plain = ["<|" not in t and self.plain(t) is not None for t in texts]
-        fast = iter(self._encode_plain([t.lower() for t, p in zip(texts, plain, strict=True) if p]))
+        done, group, size = [], [], 0
+        for t in (t.lower() for t, p in zip(texts, plain, strict=True) if p):
+            group.append(t)
+            size += len(t)
+            if size >= self.CHARS:
+                done += self._encode_plain(group)
+                group, size = [], 0
+        fast = iter(done + self._encode_plain(group))
         return [next(fast) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
 
     def _words(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
