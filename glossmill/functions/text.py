@@ -45,6 +45,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression that stands in a lambda is otherwise computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c) -> Column:
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
@@ -73,12 +78,11 @@ def words(c) -> Column:
     return F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(r"\S+"), F.lit(0))
 
 
+_WHOLE = "(?U)^(?:" + "|".join(VERBATIM) + ")$"
+
+
 def is_translatable(c) -> Column:
-    s = strip(F.coalesce(_col(c), F.lit("")))
-    whole = F.lit(False)
-    for p in VERBATIM:
-        whole = whole | s.rlike(rf"(?U)^(?:{p})$")
-    return (F.length(s) >= 2) & s.rlike("[A-Za-zČčŠšŽžÄäÖöÜüß]{2,}") & ~whole
+    return let(strip(F.coalesce(_col(c), F.lit(""))), lambda s: (F.length(s) >= 2) & s.rlike("[A-Za-zČčŠšŽžÄäÖöÜüß]{2,}") & ~s.rlike(_WHOLE))
 
 
 def count_of(c, pattern: str) -> Column:
@@ -118,9 +122,11 @@ def canon_locale(c) -> Column:
         for half, to in (("a", 0 if h == 12 else h), ("p", 12 if h == 12 else h + 12)):
             out = F.regexp_replace(out, rf"(?i)\b0?{h}:(\d\d)\s*{half}\.?\s*m\.?", f"{to:02d}:$1")
     out = F.when(s.rlike(r"(?i)\d:\d\d\s*[ap]\.?\s*m"), out).otherwise(s)
+    low = out
     for n, names in MONTHS.items():
         out = F.regexp_replace(out, rf"(?iU)\b(?:{'|'.join(sorted(names.split(), key=len, reverse=True))})\b", str(n))
-    return out
+    every = "|".join(sorted({x for names in MONTHS.values() for x in names.split()}, key=len, reverse=True))
+    return F.when(low.rlike(rf"(?iU)\b(?:{every})\b"), out).otherwise(low)
 
 
 def numbers(c) -> Column:
@@ -137,7 +143,7 @@ def number_sequence(c) -> Column:
 def more_in(a: Column, b: Column) -> Column:
     """Sorted distinct values that a holds more often than b."""
     times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    return F.array_sort(F.filter(F.array_distinct(a), lambda v: times(a, v) > times(b, v)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.array_sort(F.filter(F.array_distinct(s["a"]), lambda v: times(s["a"], v) > times(s["b"], v))))
 
 
 def _slicer(xs: Column, n: int):
@@ -147,6 +153,10 @@ def _slicer(xs: Column, n: int):
 def phrases(c, stop: list[str], most: int = 3) -> Column:
     """Distinct lower-case phrases of up to three words, without stopwords at the edges, numbers, or fewer than four letters."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return let(toks, lambda t: _phrases(t, stop, most))
+
+
+def _phrases(toks: Column, stop: list[str], most: int) -> Column:
     halt = F.array(*map(F.lit, stop))
     grams = []
     for n in range(1, most + 1):

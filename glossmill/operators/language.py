@@ -53,8 +53,12 @@ def accuracy(told: DataFrame, target: str) -> DataFrame:
 def windows(docs: DataFrame, size: int, step: int) -> DataFrame:
     """doc_id, win, sample: runs of so many words."""
     w = T.words("text")
-    starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    cut = docs.select("doc_id", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))).alias("win", "sample"))
+
+    def samples(w: Column) -> Column:
+        starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+
+    cut = docs.select("doc_id", F.posexplode(T.let(w, samples)).alias("win", "sample"))
     return cut.select("doc_id", "win", "sample")
 
 

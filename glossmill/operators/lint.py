@@ -26,7 +26,9 @@ def altered(src: Column, tgt: Column, direction: Column) -> Column:
     found = F.concat(*[F.regexp_extract_all(src, F.lit(f"(?U){p}"), F.lit(0)) for p in T.VERBATIM])
     empty = F.array().cast("array<string>")
     kept = F.aggregate(found, empty, lambda acc, x: F.when((x == "") | F.exists(acc, lambda k: k.contains(x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return F.filter(kept, lambda x: ~tgt.contains(x) & ((L.localize(x, direction) == x) | ~tgt.contains(L.localize(x, direction))))
+    gone = F.filter(kept, lambda x: ~tgt.contains(x))
+    told = F.transform(gone, lambda x: F.struct(x.alias("x"), L.localize(x, direction).alias("w")))
+    return F.transform(F.filter(told, lambda s: (s["w"] == s["x"]) | ~tgt.contains(s["w"])), lambda s: s["x"])
 
 
 def row_findings(pairs: DataFrame, glossary: list[tuple[str, str]]) -> DataFrame:

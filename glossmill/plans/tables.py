@@ -12,7 +12,11 @@ GLOSSARY = [("obdolženi", "the accused"), ("oškodovanec", "the injured party")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that lie in fewer splits than there are cores are dealt out first, which large inputs never need."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "orders") and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def pairs_sql(duck: bool) -> str:
