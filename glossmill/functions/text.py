@@ -85,8 +85,9 @@ def is_translatable(c) -> Column:
     return let(strip(F.coalesce(_col(c), F.lit(""))), lambda s: (F.length(s) >= 2) & s.rlike("[A-Za-zČčŠšŽžÄäÖöÜüß]{2,}") & ~s.rlike(_WHOLE))
 
 
-def count_of(c, pattern: str) -> Column:
-    return F.regexp_count(_col(c), F.lit(pattern)).cast("long")
+def count_of(c, signs: str) -> Column:
+    """How many characters of a class like [a-z] a text has, by what is left without them."""
+    return (F.length(_col(c)) - F.length(F.regexp_replace(_col(c), signs + "+", ""))).cast("long")
 
 
 def script(c) -> Column:
