@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import ans, common, decontam, mixing, quality, simhash
+from glossmill.llm import ans, common, decontam, mixing, quality, simhash, similar
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.one_per_group(docs)
+    """One document of each group of texts with a similarity of 0.8 or more over five-word shingles."""
+    return simhash.one_per_group(docs, similar.similar_groups(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

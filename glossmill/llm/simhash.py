@@ -247,9 +247,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, **options) -> DataFrame:
+def one_per_group(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their group, one row for each; rows without an id all stay."""
-    groups = near_duplicate_groups(docs, **options)
+    groups = near_duplicate_groups(docs) if groups is None else groups
     kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = materialize(kept, "simhash-kept")
     out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)

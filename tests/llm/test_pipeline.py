@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from glossmill.llm import ans, mixing, quality
 
-from .test_operators import brute_components, brute_contamination, brute_fingerprint
+from .test_operators import brute_contamination
+from .test_similar import brute_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,8 +22,8 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     good = {r.doc_id for r in quality.quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("predicted = 1").collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in good)
     assert 0 < len(rows) < docs.count()
-    comps = brute_components([brute_fingerprint(t) for _, t in rows])
-    rows = [r for i, r in enumerate(rows) if comps[i] == i]
+    groups = brute_similar(rows)
+    rows = [r for r in rows if groups[r[0]] == r[0]]
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hit = {x[0] for x in brute_contamination(rows, bench) if x[5]}
     rows = [r for r in rows if r[0] not in hit]
