@@ -5,8 +5,9 @@ triangle bounds prune nothing. So the trees give the close candidates, bands of
 shares none of BANDS bands of ROWS minima in 3 cases of a million), and every candidate is checked on the whole shingle sets.
 
 Equal sets collapse first. In each band's block all members are compared with one hub, the member that shares most blocks; after that,
-members outside the block's largest group are compared with those of other groups, so that a block whose members are linked costs
-one comparison for each. Sets are fetched for candidates only, and a hub of many comparisons is salted.
+members of blocks that hold several groups meet through the rarest shingles of their whole sets (a filter that loses no pair), so that
+neither copies of one text nor texts with a common passage are compared all with all. Sets are fetched for candidates only, and a hub
+of many comparisons is salted.
 
 Defined cases: a null text counts as empty; texts without words form one group; fewer words than a shingle are one shingle; rows with a
 null doc_id are in no group; repeated rows share a group; an empty table gives no rows; other columns are ignored.
@@ -122,6 +123,45 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int,
     return both.select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
 
 
+def prefix_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b (sids, a < b): pairs of unlike label that the similarity may link, between members (sid, label).
+
+    Each set is ordered by how many members hold a shingle, rarest first. Sets of the similarity share one in the prefixes of that
+    order, and the first that they share leaves room for the overlap behind it in both; other pairs are never formed. A shingle that
+    one member alone holds takes its place in the prefix but has no posting, so that a set with many of them meets nobody.
+    """
+    sets = materialize(sets_of(docs, materialize(firsts.join(members.select("sid"), "sid"), "similar-open-firsts"), shingle), "similar-open-sets")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, value in zip(batch.column(0), batch.column(1), strict=True):
+                items = np.frombuffer(value.as_py(), np.int64)
+                for at in range(0, len(items), 65536):
+                    part = items[at : at + 65536]
+                    columns = (np.full(len(part), sid.as_py(), np.int64), np.full(len(part), len(items), np.int32), part)
+                    yield pa.record_batch([pa.array(c) for c in columns], ["sid", "size", "item"])
+
+    pieces = sets.select("sid", "items").mapInArrow(spread, "sid long, size int, item long")
+    held = materialize(pieces.groupBy("item").agg(F.count("*").alias("held")).filter("held > 1"), "similar-held")
+    common = pieces.join(held.hint("merge"), "item")
+    each = common.groupBy("sid").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("held", "item"))).alias("items"))
+    # The prefix has the places that leave similarity * size shingles from there on; lone shingles stand first.
+    each = each.withColumn("lone", F.col("size") - F.size("items"))
+    each = each.withColumn("length", F.floor((1 - similarity) * F.col("size") + 1e-6).cast("int") + 1 - F.col("lone")).filter("length > 0")
+    postings = each.select("sid", "size", "lone", F.posexplode(F.slice("items", F.lit(1), F.col("length"))).alias("at", "entry"))
+    postings = postings.select("sid", F.col("entry.item").alias("item"), "size", (F.col("size") - F.col("lone") - F.col("at")).alias("room"))
+    postings = materialize(postings.join(members, "sid"), "similar-postings")
+    # A posting whose members are linked is settled; in others, members outside the largest group meet those of other groups.
+    counts = postings.groupBy("item", "label").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("item").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    unsettled = materialize(postings.join(groups.select("item", "main"), "item"), "similar-unsettled")
+    rest = unsettled.filter("label <> main").select("item", F.col("sid").alias("y"), F.col("label").alias("y_label"), F.col("size").alias("y_size"), F.col("room").alias("y_room"))
+    enough = F.least("room", "y_room") * (1 + similarity) + 1e-6 >= similarity * (F.col("size") + F.col("y_size"))
+    facing = F.expr("label <> y_label AND (label = main OR sid < y)")
+    met = unsettled.join(rest.hint("merge"), "item").filter(facing & enough)
+    return met.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id (the smallest doc_id that links reach) of each row of docs with an id."""
     marked = materialize(signatures(docs, shingle), "similar-marked")
@@ -144,12 +184,11 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     labels = components(links)
     placed = ranked.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
     placed = materialize(placed, "similar-placed")
-    groups = placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("groups"))
-    open_blocks = materialize(placed.join(groups.filter("groups > 1"), "key"), "similar-open")
-    rest = open_blocks.filter("label <> main").select("key", F.col("sid").alias("y"), F.col("label").alias("y_label"))
-    across = open_blocks.select("key", F.col("sid").alias("x"), "label", "main").join(rest, "key").filter("label <> y_label AND (label = main OR x < y)")
+    groups = placed.groupBy("key", "label").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("groups"))
+    open_members = materialize(placed.join(groups.filter("groups > 1"), "key").select("sid", "label").distinct(), "similar-open")
+    across = prefix_pairs(open_members, docs, firsts, shingle, similarity)
     done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    later = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    later = across.join(done, ["a", "b"], "left_anti")
     later = materialize(later, "similar-later")
     if not later.isEmpty():
         labels = components(links.unionByName(materialize(verified(later, docs, firsts, shingle, similarity), "similar-later-links")))

@@ -66,3 +66,25 @@ def test_bands_find_pairs_of_the_least_similarity():
         a, b = np.sort(x[:400]), np.sort(np.concatenate([x[:356], x[400:444]]))
         missed += not set(similar.band_keys(a)) & set(similar.band_keys(b))
     assert missed == 0
+
+
+def test_prefixes_keep_every_similar_pair_and_few_others(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    rows = copies(3, 30, 8, 7) + [(900 + i, " ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(60)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for key, text in rows:
+        items = np.unique(similar.shingle_hashes(text.encode()))
+        sets.setdefault(similar.set_id(items), (key, items))
+    firsts = spark.createDataFrame([(s, key) for s, (key, _) in sets.items()], "sid long, first long")
+    members = firsts.selectExpr("sid", "sid AS label")
+    got = {tuple(r) for r in similar.prefix_pairs(members, docs, firsts, 5, 0.8).collect()}
+    need = set()
+    for a, (_, x) in sets.items():
+        for b, (_, y) in sets.items():
+            shared = len(np.intersect1d(x, y, assume_unique=True)) if a < b else 0
+            if shared and shared + 1e-9 >= 0.8 * (len(x) + len(y) - shared):
+                need.add((a, b))
+    assert len(need) > 50 and need <= got
+    assert not {s for s, (key, _) in sets.items() if key >= 900} & {s for pair in got for s in pair}
