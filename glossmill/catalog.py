@@ -530,3 +530,50 @@ def translate_stub(spark, d):
     """The translator is injected; here a stub that answers numbered requests in capitals."""
     wanted = memo.keyed(P.segments(_docs(spark, d)).select("text"), "sl-en", "m1", "v5").dropDuplicates(["key"])
     return memo.translate(wanted, str.upper)
+
+
+# Files of a run
+
+_EXT = "CASE doc_id % 6 WHEN 0 THEN '.DOCX' WHEN 1 THEN '.xlsm' WHEN 2 THEN '.txt' WHEN 3 THEN '.pdf' WHEN 4 THEN '.odt' END"
+
+
+@_query(f"SELECT doc_id AS id, CASE lower({_EXT}) WHEN '.docx' THEN 'docx' WHEN '.xlsm' THEN 'xlsx' WHEN '.txt' THEN 'txt' WHEN '.pdf' THEN 'pdf' ELSE 'unsupported' END AS worker FROM documents")
+def worker_dispatch(spark, d):
+    return status.dispatch(_docs(spark, d).select(F.col("doc_id").alias("id"), F.expr(_EXT).alias("ext")))
+
+
+@_query("""SELECT id, origin, CASE origin WHEN 'needs-ocr' THEN 'ocr' ELSE 'read' END AS action FROM (
+  SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'cached' WHEN len(regexp_extract_all(text, '\\S+')) >= 50 AND doc_id % 3 <> 0 THEN 'born-digital' ELSE 'needs-ocr' END AS origin FROM documents)""")
+def pdf_route(spark, d):
+    docs = _docs(spark, d)
+    return status.route(docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 == 0).alias("cached"), F.size(T.words("text")).alias("native_words"), (F.col("doc_id") % 3 == 0).alias("glyphless")))
+
+
+@_query("SELECT d.doc_id AS id, row_number() OVER (ORDER BY d.doc_id) AS position, count(*) OVER () AS total FROM documents d WHERE d.lang = 'de'")
+def run_scope(spark, d):
+    docs = _docs(spark, d)
+    return status.scope(docs.select(F.col("doc_id").alias("id")), docs.select(F.col("doc_id").alias("id"), "lang"), "de")
+
+
+@_query("SELECT lang, source || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents")
+def paths_by_lang(spark, d):
+    return inventory.paths_by_language(_docs(spark, d).select("lang", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path")))
+
+
+@_query("""SELECT page_class, mt / scratch AS ratio, mt / scratch < 1 AS worth_it FROM (
+  SELECT event_type AS page_class, avg(CAST(event_id % 50 AS DOUBLE)) FILTER (WHERE user_id % 2 = 0) AS mt, avg(CAST(event_id % 50 AS DOUBLE)) FILTER (WHERE user_id % 2 = 1) AS scratch FROM events GROUP BY event_type)""")
+def minutes_ratio(spark, d):
+    kind = F.when(F.col("user_id") % 2 == 0, "mt").otherwise("scratch")
+    return inventory.minutes_ratio(P.load(spark, d, "events").select(F.col("event_type").alias("page_class"), kind.alias("kind"), (F.col("event_id") % 50).cast("double").alias("minutes")))
+
+
+@_query(f"SELECT v, count(*) AS n, CASE WHEN v LIKE 'Brand%' THEN v ELSE upper(v) END AS tgt FROM {_CELLS} GROUP BY v")
+def cell_translation(spark, d):
+    cells = _cells(spark, d)
+    mapping = cells.filter("v NOT LIKE 'Brand%'").distinct().select(F.col("v").alias("src"), F.upper("v").alias("tgt"))
+    return inventory.apply_to_cells(cells, mapping, "v").groupBy("v", "tgt").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT doc_id, CASE WHEN de > en THEN 'de' WHEN en > de THEN 'en' ELSE 'none' END AS marked FROM (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), ' der ', ''))) // 5 AS de, (length(lower(text)) - length(replace(lower(text), ' the ', ''))) // 5 AS en FROM documents)")
+def marker_hits(spark, d):
+    return language.marked(_docs(spark, d), "doc_id", {"de": [" der "], "en": [" the "]})

@@ -52,3 +52,20 @@ def redundancy(cells: DataFrame, value: str) -> DataFrame:
 
 def most_repeated(cells: DataFrame, value: str, top: int = 20) -> DataFrame:
     return cells.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(top)
+
+
+def apply_to_cells(cells: DataFrame, mapping: DataFrame, value: str) -> DataFrame:
+    """cells with tgt: the translation of each cell's value, or the value itself. mapping: src, tgt, one row for each src."""
+    return cells.join(mapping.select(F.col("src").alias(value), "tgt"), value, "left").withColumn("tgt", F.coalesce("tgt", value))
+
+
+def paths_by_language(files: DataFrame) -> DataFrame:
+    """lang, path, in order: one row for each path, so that no language is gathered in one place. files: lang, path."""
+    return files.select("lang", "path").orderBy("lang", "path")
+
+
+def minutes_ratio(tally: DataFrame) -> DataFrame:
+    """page_class, ratio, worth_it: mean minutes of corrected over those of fresh pages; from 1 on it isn't worth it. tally: page_class, kind (mt or scratch), minutes."""
+    mean = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("minutes")))
+    found = tally.groupBy("page_class").agg((mean("mt") / mean("scratch")).alias("ratio"))
+    return found.select("page_class", "ratio", (F.col("ratio") < 1).alias("worth_it"))

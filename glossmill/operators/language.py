@@ -64,3 +64,12 @@ def windows(docs: DataFrame, size: int, step: int) -> DataFrame:
 
 def first_only(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("n = 1").drop("n")
+
+
+def marked(docs: DataFrame, key: str, markers: dict[str, list[str]]) -> DataFrame:
+    """key, marked: the language with most non-overlapping hits of its markers, none if there is a tie or no hit."""
+    text = F.lower("text")
+    hits = [F.struct(sum((F.regexp_count(text, F.lit(r"\Q" + m + r"\E")) for m in found), F.lit(0)).alias("n"), F.lit(lang).alias("lang")) for lang, found in markers.items()]
+    ranked = docs.select(key, F.sort_array(F.array(*hits), asc=False).alias("r"))
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    return ranked.select(key, F.when((first["n"] > 0) & (second.isNull() | (first["n"] > second["n"])), first["lang"]).otherwise("none").alias("marked"))

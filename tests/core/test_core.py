@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glossmill import catalog
 from glossmill.functions import locale as L
 from glossmill.functions import text as T
-from glossmill.operators import memo, ocr
+from glossmill.operators import memo, ocr, status
 from glossmill.sources import readers, sinks
 from glossmill.streaming import ingest
 
@@ -145,3 +145,12 @@ def test_query_matches_its_sql(spark, con, name):
     if name in catalog.oracle_sql():
         columns = ", ".join(f'"{c}"' for c in got.columns)
         assert tidy(rows) == tidy(con.execute(f"SELECT {columns} FROM ({catalog.oracle_sql()[name]})").fetchall())
+
+
+def test_run_scope_numbers_all_ranges(spark):
+    disk = spark.createDataFrame([(f"f{i * 7919 % 9973:05d}",) for i in range(9000)], "id string")
+    found = {r.id: (r.position, r.total) for r in status.scope(disk, disk.withColumn("lang", F.lit("de")), None).collect()}
+    assert found == {x: (i + 1, 9000) for i, x in enumerate(sorted(found))} and len(found) == 9000
+    assert status.scope(disk.limit(0), disk.withColumn("lang", F.lit("de")), "de").collect() == []
+    assert status.scope(disk, disk.withColumn("lang", F.lit("de")), "sl").count() == 0
+    assert status.scope(disk, disk.withColumn("lang", F.lit("de")), "sl", everything=True).count() == 9000
