@@ -1,8 +1,9 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction for identifiers that they miss.
 
-One pass over the texts finds the seeds (email, ip, card, phone) and every other token that looks like an identifier, each with
-its lexical contexts on its line: the two words before it, and the word before with the word after. Contexts and
-identifiers are a graph. Spark scores it in rounds: a context is as good as the share of its occurrences that hold seeds or
+One pass over the texts finds the seeds (email, ip, card, phone) and everything else that looks like an identifier: each token with
+a digit, an at sign or a double colon, and each whole run of digits with blanks, brackets, points and hyphens. Each has
+its lexical contexts on its line: the two words before it, and the word before with the word after. Of discoveries that lie in
+one another the outermost is returned. Contexts and identifiers are a graph. Spark scores it in rounds: a context is as good as the share of its occurrences that hold seeds or
 identifiers already believed, smoothed and with a least support; an unseen identifier is believed as far as its good
 contexts make it. What is believed at the end is added as <kind>_ctx. Seeds are never changed.
 
@@ -17,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, table
@@ -32,6 +33,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++").finditer
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++").finditer
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _DIGIT = re.compile(r"[0-9]").search
+_ANCHOR = re.compile(r"[@0-9]|::").finditer
+_RUN = re.compile(r"(?:(?<![\w@])|(?=[+(]))[+(]{0,2}[0-9]++(?![\w@])(?:[ ().-]*+[0-9]++(?![\w@]))*+").finditer
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -81,30 +84,45 @@ def contexts(text: str, start: int, end: int) -> tuple[str | None, str | None]:
     return f"2 {before[-2]} {before[-1]}" if len(before) > 1 else None, f"1 {before[-1]} _ {after[0]}" if before and after else None
 
 
-def candidates(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of other identifier-like tokens, clear of the seeds."""
-    out, k = [], 0
-    if not ("@" in text or _DIGIT(text)):
-        return out
-    for m in re.finditer(r"[@0-9]", text):
-        if out and m.start() < out[-1][1]:
+def tokens(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans of the tokens without blanks that hold a digit, an at sign or a double colon, clear of the seeds."""
+    out, k, seen = [], 0, 0
+    for m in _ANCHOR(text):
+        if m.start() < seen:
             continue
         while k < len(seeds) and seeds[k][2] <= m.start():
             k += 1
         if k < len(seeds) and seeds[k][0] <= m.start():
             continue
         start, end = m.start(), m.end()
-        low = max(seeds[k - 1][2] if k else 0, out[-1][1] if out else 0)
+        low = max(seeds[k - 1][2] if k else 0, seen)
         while start > low and text[start - 1] not in _BREAK:
             start -= 1
         top = seeds[k][0] if k < len(seeds) else len(text)
         while end < top and text[end] not in _BREAK:
             end += 1
-        while end > start and text[end - 1] in ".:)(-":
+        seen = end
+        while end > m.end() and text[end - 1] in ".:)(-":
             end -= 1
-        token = text[start:end]
-        if sum("0" <= c <= "9" for c in token) >= 6 or "@" in token[1:-1]:
-            out.append((start, end))
+        out.append((start, end))
+    return out
+
+
+def runs(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans of whole runs of digits with blanks, brackets, points and hyphens, the shapes of phone and card without their check, clear of the seeds."""
+    edges = [0, *(x for s, _, e in seeds for x in (s, e)), len(text)]
+    return [m.span() for low, top in zip(edges[::2], edges[1::2], strict=True) for m in _RUN(text, low, top)]
+
+
+def candidates(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, k) of other identifier-like spans, clear of the seeds: whole runs and single tokens, which can lie in a run.
+    k is -1, or -2 where a longer candidate starts at the same place: it is no occurrence of its own of the words before it."""
+    if not ("@" in text or "::" in text or _DIGIT(text)):
+        return []
+    out, last = [], -1
+    for start, end in sorted({*tokens(text, seeds), *runs(text, seeds)}, key=lambda x: (x[0], -x[1])):
+        out.append((start, end, -2 if start == last else -1))
+        last = start
     return out
 
 
@@ -114,7 +132,7 @@ _SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """Of each row: the counts and digest of the seeds, the seeds, and all identifiers with their contexts (k: kind of a seed, -1 of others)."""
+    """Of each row: the counts and digest of the seeds, the seeds, and all identifiers with their contexts (k: kind of a seed, below 0 of others)."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +151,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
                     else:
                         covered.append((s, 0, e))
                 found = []
-                for k, s, e in [(k, s, e) for s, k, e in seeds] + [(-1, s, e) for s, e in candidates(text, covered)]:
+                for k, s, e in [(k, s, e) for s, k, e in seeds] + [(k, s, e) for s, e, k in candidates(text, covered)]:
                     two, around = contexts(text, s, e)
                     found.append({"k": k, "start": s, "end": e, "value": text[s:e], "two": two, "around": around})
                 rows.append({"doc_id": doc_id, **{f"n_{x}": c for x, c in zip(KINDS, n, strict=True)}, "base_sha256": sha, "base": [{"start": s, "k": k, "end": e} for s, k, e in seeds], "found": found})
@@ -147,8 +165,9 @@ def first_pass(docs: DataFrame) -> DataFrame:
 
 def believed(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """value, k, score of unseen identifiers: the pattern-instance graph scored in rounds. found: k, value, two, around."""
-    pairs = found.select("k", F.xxhash64("value").alias("v"), F.explode(F.array("two", "around")).alias("context")).filter("context IS NOT NULL")
-    edges = materialize(pairs.groupBy("context", "v", "k").agg(F.count("*").alias("n")), "pii-edges")
+    both = F.array(F.struct(F.col("two").alias("context"), (F.col("k") > -2).cast("long").alias("n")), F.struct(F.col("around").alias("context"), F.lit(1).cast("long").alias("n")))
+    pairs = found.select(F.greatest("k", F.lit(-1)).alias("k"), F.xxhash64("value").alias("v"), F.inline(both)).filter("context IS NOT NULL")
+    edges = materialize(pairs.groupBy("context", "v", "k").agg(F.sum("n").alias("n")), "pii-edges")
     sizes = materialize(edges.groupBy("context").agg(F.sum("n").alias("total"), *[F.count_if(F.col("k") == i).alias(f"seeds{i}") for i in range(4)]), "pii-contexts")
     useful = " OR ".join(f"seeds{i} >= {SUPPORT}" for i in range(4))
     sizes = sizes.filter(useful)
@@ -177,7 +196,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     marked = materialize(marked, "pii-rows")
     found = marked.select("row", F.explode("found").alias("f")).select("row", "f.*")
     chosen = materialize(believed(found), "pii-believed")
-    new = found.filter("k < 0").withColumn("v", F.xxhash64("value")).join(chosen, "v").select("row", F.struct("start", (F.col("kind") + 4).cast("int").alias("k"), "end").alias("s"))
+    new = found.filter("k < 0").withColumn("v", F.xxhash64("value")).join(chosen, "v").select("row", "start", "end", F.struct("start", (F.col("kind") + 4).cast("int").alias("k"), "end").alias("s"))
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reach", F.max("end").over(before)).filter("reach IS NULL OR end > reach")
     new = materialize(new.groupBy("row").agg(F.collect_list("s").alias("more")), "pii-new")
     names = F.array(*[F.lit(x) for x in KINDS], *[F.lit(f"{x}_ctx") for x in KINDS])
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.expr("CAST(array() AS array<struct<start:bigint,k:int,end:bigint>>)"))))

@@ -88,6 +88,26 @@ def test_pii_discovers_by_context(spark, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_pii_discovers_identifiers_with_blanks_and_short_ones(spark):
+    rng = random.Random(8)
+    said = {0: "mobile line", 1: "paid with", 2: "from host"}
+    seeds = {0: "+1 (555) 200-{0:04}", 1: "4111 1111 1111 1111", 2: "10.0.{0}.1"}
+    hidden = {0: ["(555) 123-4567", "555 123 4567", "555.123.4568"], 1: ["4111 1111 1111 1112"], 2: ["fe80::1", "fe::ab", "n417"]}
+    # one number for all cards would be one seed: three that pass the check
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"]
+    rows = [(i, f"{words(rng, 5)} {said[i % 3]} {cards[i // 3 % 4] if i % 3 == 1 else seeds[i % 3].format(i)} {words(rng, 5)}") for i in range(120)]
+    wanted = {}
+    for kind, values in hidden.items():
+        for value in values:
+            text = f"{words(rng, 5)} {said[kind]} {value} {words(rng, 5)}"
+            at = text.index(value)
+            wanted[1000 + len(wanted)] = f"{['phone', 'card', 'ip'][kind]}_ctx:{at}:{at + len(value)}"
+            rows.append((1000 + len(wanted) - 1, text))
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: out[i].spans for i in wanted} == wanted
+    assert all(out[i].n_context == 0 for i in range(120))
+
+
 def test_pii_on_odd_rows(docs, rows):
     assert pii.personal_data(docs).count() == len(rows)
 
