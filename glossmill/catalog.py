@@ -142,7 +142,8 @@ def lang_disc_vocab(spark, d):
 
 def _detected(spark, d):
     docs = _docs(spark, d).filter("doc_id % 2 = 1")
-    found = language.detect(docs, language.discriminative(_trained(spark, d)))
+    vocab = _trained(spark, d)
+    found = language.detect(docs, language.discriminative(vocab), language.cyrillic_words(vocab))
     return docs.select("doc_id", "lang").join(found, "doc_id")
 
 

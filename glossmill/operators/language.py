@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 LEAST_TOKENS, LEAST_CONFIDENCE = 60, 0.30
+#: The language that Cyrillic texts can be, and the least share of their distinct words in its Cyrillic vocabulary.
+CYRILLIC_LANG, LEAST_CYRILLIC = "hbs", 0.20
 
 
 def vocabulary(docs: DataFrame, least: int = 3) -> DataFrame:
@@ -21,15 +23,26 @@ def discriminative(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("word").agg(F.min("lang").alias("lang"), F.count("*").alias("n")).filter("n = 1").select("word", "lang")
 
 
-def detect(docs: DataFrame, disc: DataFrame) -> DataFrame:
-    """doc_id, predicted, confidence. docs: doc_id, text. Scores are counts over the same distinct words, so ratios are exact."""
+def cyrillic_words(vocab: DataFrame) -> DataFrame:
+    """word of the Serbo-Croatian words in Cyrillic letters."""
+    return vocab.filter(F.col("lang") == CYRILLIC_LANG).filter(F.col("word").rlike(r"[\u0400-\u04FF]")).select("word")
+
+
+def detect(docs: DataFrame, disc: DataFrame, cyrillic: DataFrame | None = None) -> DataFrame:
+    """doc_id, predicted, confidence. docs: doc_id, text; disc: word, lang, for Latin texts; cyrillic: word, for Cyrillic texts, which
+    are unknown without it. Scores are counts over the same distinct words, so ratios are exact."""
     toks = T.tokens("text")
     base = docs.select("doc_id", F.size(toks).alias("n"), T.script("text").alias("script"), F.array_distinct(toks).alias("u"), (T.count_of("text", "[ćĆđĐ]") >= 2).alias("halved"))
-    latin = base.filter((F.col("n") >= LEAST_TOKENS) & (F.col("script") == "latin")).select("doc_id", "halved", F.explode("u").alias("word"))
-    hits = latin.join(disc, "word").groupBy("doc_id", "lang").agg((F.count("*") * F.when(F.max("halved") & (F.col("lang") == "sl"), 0.5).otherwise(1.0)).alias("s"))
-    ranked = hits.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("k"), "lang"))), 1, 2).alias("r"))
+    known = disc.select("word", "lang", F.lit("latin").alias("script"))
+    if cyrillic is not None:
+        known = known.unionByName(cyrillic.select("word", F.lit(CYRILLIC_LANG).alias("lang"), F.lit("cyrillic").alias("script")).distinct())
+    told = base.filter((F.col("n") >= LEAST_TOKENS) & F.col("script").isin("latin", "cyrillic")).select("doc_id", "halved", "script", F.size("u").alias("m"), F.explode("u").alias("word"))
+    hits = told.join(known, ["word", "script"]).groupBy("doc_id", "lang").agg((F.count("*") * F.when(F.max("halved") & (F.col("lang") == "sl"), 0.5).otherwise(1.0)).alias("s"), F.max("m").alias("m"))
+    ranked = hits.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("k"), "lang"))), 1, 2).alias("r"), F.max("m").alias("m"))
     best, second = -F.col("r")[0]["k"], F.coalesce(-F.get(F.col("r"), F.lit(1))["k"], F.lit(0.0))
-    conf = F.least(F.lit(1.0), (best - second) / best * 2.5) * F.when(F.col("n") < 100, 0.75).otherwise(1.0)
+    rate = best / F.col("m")
+    latin = F.least(F.lit(1.0), (best - second) / best * 2.5) * F.when(F.col("n") < 100, 0.75).otherwise(1.0)
+    conf = F.when(F.col("script") != "cyrillic", latin).when(rate >= LEAST_CYRILLIC, F.least(F.lit(1.0), rate * 3))
     out = base.select("doc_id", "n", "script").join(ranked, "doc_id", "left").withColumn("conf", conf)
     lang = F.when(F.col("n") < LEAST_TOKENS, "unknown").when(F.col("script") == "armenian", "hy").when(F.col("conf") >= LEAST_CONFIDENCE, F.col("r")[0]["lang"]).otherwise("unknown")
     sure = F.when(F.col("n") < LEAST_TOKENS, 0.0).when(F.col("script") == "armenian", 1.0).otherwise(F.coalesce("conf", F.lit(0.0)))

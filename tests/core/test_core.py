@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glossmill import catalog
 from glossmill.functions import locale as L
 from glossmill.functions import text as T
-from glossmill.operators import memo, ocr, status
+from glossmill.operators import language, memo, ocr, status
 from glossmill.sources import readers, sinks
 from glossmill.streaming import ingest
 
@@ -83,6 +83,24 @@ def test_ocr_line_with_half_bad_words_is_marked(spark):
     assert {r.line: r.line_text for r in rows} == {1: ocr.MARK, 2: f"a b c {ocr.MARK} e f"}
 
 
+def test_cyrillic_texts_are_told_by_their_vocabulary(spark):
+    letters = "абвгдежзик"
+    word = [f"{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}" for i in range(400)]
+
+    def text(known, n):  # so many of n distinct words are in the vocabulary, each stands twice
+        return " ".join((word[:known] + word[200 : 200 + n - known]) * 2)
+
+    texts = {1: text(25, 100), 2: text(50, 100), 3: text(20, 100), 4: text(19, 100), 5: text(0, 100), 6: text(20, 20), 7: text(25, 100) + " plain" * 30, 8: "ab cd " * 40, 9: "է" * 3 + " բգ" * 70}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    vocab = spark.createDataFrame([("hbs", w) for w in word[:100] + word[:5]] + [("hbs", "ab"), ("hbs", "cd"), ("bg", word[200])], "lang string, word string")
+    disc = language.discriminative(vocab)
+    found = {r.doc_id: (r.predicted, round(r.confidence, 9)) for r in language.detect(docs, disc, language.cyrillic_words(vocab)).collect()}
+    known = round(3 * 25 / 101, 9)
+    assert found == {1: ("hbs", 0.75), 2: ("hbs", 1.0), 3: ("hbs", 0.6), 4: ("unknown", 0.0), 5: ("unknown", 0.0), 6: ("unknown", 0.0), 7: ("hbs", known), 8: ("hbs", 0.75), 9: ("hy", 1.0)}
+    without = {r.doc_id: r.predicted for r in language.detect(docs, disc).collect()}
+    assert without == {**dict.fromkeys(range(1, 8), "unknown"), 8: "hbs", 9: "hy"}
+
+
 def test_translation_falls_back_and_keeps_failures_apart(spark):
     assert memo.parse_batch("1. a\n2) b", 2) == ["a", "b"] and memo.parse_batch("1. a\n1. b", 2) is None and memo.parse_batch("1. a", 2) is None
 
