@@ -12,21 +12,24 @@ checkpoint its word position (u64) and lane states (u64 each); the words (u32 ea
 Files are named after the task attempt and only those that the finished job lists are read, so a lost executor or a
 second attempt leaves no trace in the result.
 
-Defined cases: a null text counts as empty and yields the end id alone; null doc_ids come first in order; repeated doc_ids
-follow each other, ordered by their ids; an empty table gives no file and no row; other columns are ignored.
+Defined cases: a null text counts as empty and yields the end id alone; null doc_ids come first in order; rows of one doc_id follow each
+other in an order fixed by a hash of their ids, so that many of them spread over several files; an empty table gives no file and no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
 import re
 import struct
 import sys
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -162,51 +165,104 @@ def decode_block(data: bytes, freqs: FrequencyTable) -> np.ndarray:
     return ids
 
 
-class WordEncoder:
-    """The library's encoding of texts, many at once, with a bounded cache of words.
+#: The steps of a tokenizer that drops white space and lets no word see its neighbours, so that a text's ids are those of its words, one after another.
+_BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
-    Texts of Latin letters, digits and signs are cut into words as the tokenizer's own rules cut them (runs of letters, single
-    digits, runs of signs, contractions), with whole-array operations; equal words are found by two independent hashes,
-    and the library's model encodes each new word once. Any other text, or one with a special token's string, is encoded
-    whole by the library.
+
+class Words:
+    """The library's ids of words, kept by the words themselves, which Arrow compares in full.
+
+    A word of lower-case Latin-1 letters alone passes the normalizer unchanged and the split as one piece, so that only the library's last two
+    steps are called for it: the byte signs, asked for once for each letter, and the model. Signs behind such a word are a piece of their own.
     """
 
-    #: Words in the cache, and characters that are worked on at once.
-    CACHE, CHARS = 1_000_000, 1_500_000
-    #: The characters that stand for bytes in byte-level vocabularies: the visible ones of Latin-1 stand for themselves, the others follow at 256.
-    _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_VISIBLE}))}
-    #: Odd multipliers of the hashes.
-    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    #: Lower-case letters, then signs other than the apostrophe.
+    _PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer, width: str, most: int, longest: int):
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
+        self.tokenizer, self.width, self.most, self.longest = tokenizer, width, most, longest
+        signs = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.signs = {c: signs(chr(c))[0][0] for c in range(0xDF, 0x100) if chr(c).islower()}
+        self.runs: dict[str, list[int]] = {}
         self._forget()
-        self.plain = re.compile("[\t-\r\x20-\x7e\xa0-įı-ſ]*").fullmatch
-        kinds = {"L": 1, "N": 2}
-        self.kind = np.array([0 if chr(c).isspace() else kinds.get(unicodedata.category(chr(c))[0], 3) for c in range(0x180)], np.uint8)
-        self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in self.BASES]
 
     def _forget(self) -> None:
-        """The cache: words by first hash, with their second hash and the place of their ids; the newest are apart, until they are many."""
-        import pandas as pd
-
-        self.known = pd.Index(np.zeros(0, np.uint64))
-        self.check, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.width)
-        self.recent: dict[int, tuple[int, bytes]] = {}
+        self.known, self.begin, self.size, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.width)
+
+    def _encode(self, word: str) -> list[int]:
+        plain = self._PLAIN(word)
+        if plain is None:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        letters, run = plain.groups()
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters if letters.isascii() else letters.translate(self.signs))]
+        if run and run not in self.runs:
+            if len(self.runs) >= 10_000:
+                self.runs.clear()
+            self.runs[run] = self.tokenizer.encode(run, add_special_tokens=False).ids
+        return ids + self.runs[run] if run else ids
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and size of each word's ids, and the ids that these lie in. words: distinct."""
+        if len(self.known) > self.most:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy()
+        begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if len(self.known):
+            begin, size = self.begin[at], self.size[at]
+        if not len(new):
+            return begin, size, self.flat
+        strange = words.take(pa.array(new))
+        ids = list(map(self._encode, strange.to_numpy(zero_copy_only=False).tolist()))
+        size[new] = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+        flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), self.width)])
+        # Long words are used here and forgotten.
+        short = new[pc.less_equal(pc.utf8_length(strange), self.longest).to_numpy(zero_copy_only=False)]
+        self.known = pa.concat_arrays([self.known, words.take(pa.array(short))])
+        self.begin, self.size = np.concatenate([self.begin, begin[short]]), np.concatenate([self.size, size[short]])
+        if len(short) == len(new):
+            self.flat = flat
+        else:
+            place = np.concatenate([np.arange(b, b + n) for b, n in zip(begin[short], size[short], strict=True)]) if len(short) else np.zeros(0, np.int64)
+            self.begin[len(self.begin) - len(short) :] = len(self.flat) + np.cumsum(size[short]) - size[short]
+            self.flat = np.concatenate([self.flat, flat[place]])
+        return begin, size, flat
+
+
+class TextEncoder:
+    """The library's ids of whole texts.
+
+    Every id comes from the library's own encode(). Where the vocabulary file's normalizer and pre-tokenizer are those of _BY_WORDS, and no
+    added token holds or eats white space, a text is cut at blanks and newlines, and a word's ids are remembered under the word
+    itself, as long as it is short. Texts of Latin-1 are put in lower case before, as that tokenizer does in any case, so that
+    fewer words are told apart. Any other file's texts go to the library whole.
+    """
 
-    def _merge(self) -> None:
-        import pandas as pd
+    #: Words that are remembered, the longest of them, and characters that are cut into words at once.
+    WORDS, LONGEST, CHARS = 1_500_000, 48, 4 << 20
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        ids = np.frombuffer(b"".join(x for _, x in self.recent.values()), self.width)
-        size = np.array([len(x) for _, x in self.recent.values()], np.int64) // np.dtype(self.width).itemsize
-        self.known = pd.Index(np.concatenate([self.known.to_numpy(), np.array(list(self.recent), np.uint64)]))
-        self.check = np.concatenate([self.check, np.array([c for c, _ in self.recent.values()], np.uint64)])
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat, self.recent = np.concatenate([self.size, size]), np.concatenate([self.flat, ids]), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
+        parts = json.loads(self.tokenizer.to_str())
+        added = parts["added_tokens"] or []
+        self.by_words = (parts["normalizer"], parts["pre_tokenizer"]) == _BY_WORDS and not parts["truncation"] and not parts["padding"] and not any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in added)
+        self.first_signs = {t["content"][0] for t in added}
+        self.words = Words(self.tokenizer, self.width, self.WORDS, self.LONGEST)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
@@ -216,102 +272,59 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of the encoder's width."""
-        plain = ["<|" not in t and self.plain(t) is not None for t in texts]
-        done, group, size = [], [], 0
-        for t in (t.lower() for t, p in zip(texts, plain, strict=True) if p):
-            group.append(t)
-            size += len(t)
-            if size >= self.CHARS:
-                done += self._encode_plain(group)
-                group, size = [], 0
-        fast = iter(done + self._encode_plain(group))
-        return [next(fast) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
-
-    def _words(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the words; the last unit is a space."""
-        kind = self.kind[units]
-        change = kind[1:] != kind[:-1]
-        single = kind == 2
-        start = np.concatenate([[True], change]) | single
-        end = np.concatenate([change, [True]]) | single
-        # A lone apostrophe takes the letters of a contraction with it.
-        at = np.flatnonzero((units == 39) & start & end)
-        at = at[at + 3 < len(units)]
-        one, two = units[at + 1], units[at + 2]
-        long = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
-        for size, found in ((1, at[np.isin(one, (115, 116, 109, 100))]), (2, at[long])):
-            end[found] = start[found + 1] = False
-            end[found + size] = True
-            start[found + size + 1] |= kind[found + size + 1] == 1
-        return np.flatnonzero(start & (kind > 0)), np.flatnonzero(end & (kind > 0)) + 1
-
-    def _hashes(self, units: np.ndarray, start: np.ndarray, end: np.ndarray):
-        wide = units.astype(np.uint64) + np.uint64(1)
-        for i, base in enumerate(self.BASES):
-            if len(self.powers[i][0]) < len(units):
-                n = len(units) + len(units) // 4
-                both = []
-                for b in (base, pow(base, -1, 1 << 64)):
-                    p = np.full(n, b, np.uint64)
-                    p[0] = 1
-                    both.append(np.cumprod(p))
-                self.powers[i] = (both[0], both[1])
-            up, down = self.powers[i]
-            sums = np.zeros(len(units) + 1, np.uint64)
-            np.cumsum(wide * up[: len(units)], out=sums[1:])
-            yield (sums[end] - sums[start]) * down[start]
-
-    def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        import pandas as pd
-
-        if not texts:
-            return []
-        joined = "\n".join(texts) + "\n   "
-        units = np.frombuffer(joined.encode("utf-16-le"), "<u2")
-        start, end = self._words(units)
-        one, two = self._hashes(units, start, end)
-        number, distinct = pd.factorize(one)
-        first = np.empty(len(distinct), np.int64)
-        first[number[::-1]] = np.arange(len(number))[::-1]
-        if (two[first][number] != two).any():
-            return [self.whole(t) for t in texts]
-        if len(self.known) > self.CACHE:
-            self._forget()
-        size = np.dtype(self.width).itemsize
-        place = self.known.get_indexer(distinct)
-        sizes, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        held = np.flatnonzero(place >= 0)
-        sizes[held], begin[held] = self.size[place[held]], self.begin[place[held]]
-        if (self.check[place[held]] != two[first[held]]).any():
-            return [self.whole(t) for t in texts]
-        new = np.flatnonzero(place < 0)
-        recent, pieces, found, letter = self.recent, self.tokenizer.model.tokenize, [], "H" if size == 2 else "I"
-        for h, check, s, e in zip(distinct[new].tolist(), two[first[new]].tolist(), start[first[new]].tolist(), end[first[new]].tolist(), strict=True):
-            known = recent.get(h)
-            if known is None or known[0] != check:
-                w = joined[s:e]
-                ids = [t.id for t in pieces(w if w.isascii() else w.encode().decode("latin-1").translate(self.BYTES))]
-                known = recent[h] = (check, struct.pack(f"<{len(ids)}{letter}", *ids))
-            found.append(known[1])
-        sizes[new] = np.fromiter(map(len, found), np.int64, len(found)) // size
-        begin[new] = len(self.flat) + np.cumsum(sizes[new]) - sizes[new]
-        flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), self.width)])
-        if len(recent) > max(50_000, len(self.known) // 4):
-            self._merge()
+        if not self.by_words:
+            return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, parts, size = [], [], 0
+        for i, text in enumerate(texts):
+            for part in self._stretches(text):
+                owners.append(i)
+                parts.append(part)
+                size += len(part)
+                if size >= self.CHARS:
+                    self._add(out, owners, parts)
+                    owners, parts, size = [], [], 0
+        self._add(out, owners, parts)
+        return [b"".join(x) for x in out]
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        """The text in parts of a bounded length, each ending at a blank, with newlines as blanks."""
+        at = 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= self.CHARS else text.find(" ", at + self.CHARS)
+            end = len(text) if end < 0 else end
+            part = text[at:end].replace("\n", " ")
+            if not any(s in part for s in self.first_signs):  # no added token begins here
+                try:
+                    part.encode("latin-1")  # no composition touches these characters, and each has one lower case, whatever stands around it
+                    part = part.lower()
+                except UnicodeEncodeError:
+                    pass
+            yield part
+            at = end + 1
+
+    def _add(self, out: list[list[bytes]], owners: list[int], parts: list[str]) -> None:
+        """Add the ids of the parts to those of their texts; each word is looked up once."""
+        if not parts:
+            return
+        cut = pc.split_pattern(pa.array(parts, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        begin, sizes, flat = self.words.find(coded.dictionary)
+        number = coded.indices.to_numpy()
         n = sizes[number]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[number] - (ends - n), n) + np.arange(n.sum())].tobytes()
-        edges = np.cumsum([len(t) + 1 for t in texts])
-        stops = np.concatenate([[0], ends])[np.searchsorted(start, edges)] * size
-        return [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begin[number] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        stops = (ends[cut.offsets.to_numpy()] * np.dtype(self.width).itemsize).tolist()
+        for i, a, b in zip(owners, stops, stops[1:], strict=False):
+            out[i].append(ids[a:b])
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
-def encoder_at(path: str) -> WordEncoder:
+def encoder_at(path: str) -> TextEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
@@ -320,6 +333,7 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = encoder_at(vocabulary)
         pack = zstandard.ZstdCompressor(level=1).compress
         end = np.array([end_id], encoder.width).tobytes()
@@ -384,7 +398,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["part", "path", "offset", "bytes", "ids", "start"])
 
-    ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]
+    ordered = ids.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     blocks = materialize(ordered.mapInArrow(write, "part int, path string, offset long, bytes long, ids long, start long"), "token-blocks")
     discard(ids)
     return blocks

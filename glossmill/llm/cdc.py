@@ -1,16 +1,20 @@
 """Repeated passages found by content-defined chunking with a gear rolling hash.
 
 Every byte adds its number from a fixed table to the doubled hash, so that the hash of a place depends on the WIDTH bytes before
-it; a place where it is small is a cut. Cuts follow the content alone, so an insertion moves them but changes only the
-chunks that it touches. A chunk runs over two gaps between cuts, so that chunks overlap and every gap is in two of
-them; equal chunks are found by digest. In each text, runs of consecutive chunks that occur elsewhere too are joined, and runs of
-RUN_BYTES or more are repeats; of each chunk in them the first occurrence (by doc_id, then place) stays and the others can go.
-
-Only digests, ids and offsets are shuffled, never texts. Digests are pre-aggregated before each exchange.
-
-Defined cases: null and empty texts have no chunks; a text without two cuts is one chunk; rows with a null doc_id or a repeated
-doc_id take part as texts of their own; repeats within a text count like those between texts; an empty table gives
-no rows; other columns are ignored or, in remove_repeats, kept.
+it. A place whose hash is the smallest of some GAP places in a row is a cut. Cuts follow the content alone, so an insertion moves
+them but changes only the chunks that it touches, and of any GAP places in a row one is a cut: a passage that stands in two texts has
+its inner cuts at the same places in both. A chunk begins at every cut and runs to the first cut CHUNK bytes or more behind it, so that chunks
+overlap or touch and none is so short that it stands elsewhere by chance; equal chunks are found by digest. In each text, runs of consecutive chunks that occur elsewhere too are joined, and runs of
+LEAST bytes or more are repeats; of each chunk in them the first occurrence (by doc_id, then row, then place) stays and the others
+can go. A repeated passage of SURE bytes or more is always found, whatever its words are; none of fewer than LEAST bytes is reported.
+
+Only digests, row numbers and offsets are shuffled, never texts. Chunks are counted by digest with partial aggregation; only those that
+occur twice are looked at again, and a digest that holds a large share of all chunks is never gathered in one task.
+
+Defined cases: null and empty texts have no chunks; a text too short for another chunk is one chunk; each row is a text of its own, also if its
+doc_id is null or repeated or the whole row is, so that of equal rows the first stays; repeats within a text count like those between
+texts; in a stretch that repeats itself every EVEN bytes or less only the first of equal places is a cut, so that it can be
+one long chunk; an empty table gives no rows; other columns are ignored or, in remove_repeats, kept.
 """
 
 from __future__ import annotations
@@ -25,29 +29,58 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import materialize, prepare, table
+from .common import hot_keys, materialize, prepare, table, with_row_id
 
-#: Mean bytes between cuts, bytes that the hash depends on, and the least length of a repeat.
-GAP, WIDTH, RUN_BYTES = 24, 16, 96
-GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
+#: Bytes that the hash depends on, the most places from cut to cut, the period up to which equal places are one, the least bytes of a chunk and of a repeat.
+WIDTH, GAP, EVEN, CHUNK, LEAST = 16, 32, 8, 24, 64
+#: From this length on every repeat is found: the first cut in it lies within WIDTH - 1 + GAP bytes, its last cut within GAP of its end, and the end of the last chunk within GAP of that.
+SURE = LEAST + WIDTH - 1 + 3 * GAP
+#: Bytes of a text that are hashed at once, and rows of a batch.
+SECTION, ROWS = 1 << 20, 1 << 16
+GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
-def cuts(data: bytes, gap: int = GAP) -> np.ndarray:
-    """Places of the cuts, from 0 to the end; none stands within a character."""
-    if not data:
-        return np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8)
+def _slide(values: np.ndarray, size: int, take) -> np.ndarray:
+    """take (minimum or maximum) over every run of size values; size is a power of two."""
+    width = 1
+    while width < size:
+        values = take(values[:-width], values[width:])
+        width *= 2
+    return values
+
+
+def _places(raw: np.ndarray, gap: int) -> np.ndarray:
+    """Which bytes are the smallest place of a window of gap places, of those that have all their bytes before them here."""
     h, width = GEAR[raw], 1
     while width < WIDTH:  # the hash over 2w bytes is the hash over w, and that of the w before it, shifted
-        h = np.concatenate([h[:width], h[width:] + (h[:-width] << np.uint64(width))])
+        h = np.concatenate([h[:width], h[width:] + (h[:-width] << np.uint32(width))])
         width *= 2
-    top = (h >> np.uint64(WIDTH - 1)) & np.uint64(0xFFFF)
-    small = top < np.uint64(65536 // gap)
-    small[:-1] &= (raw[1:] & 0xC0) != 0x80
-    small[-1] = True
-    small[: WIDTH - 1] = False
-    small[-1] = True
-    return np.concatenate([[0], np.flatnonzero(small) + 1])
+    h[: WIDTH - 1] = _NONE
+    h[:-1][(raw[1:] & 0xC0) == 0x80] = _NONE  # not within a character
+    found = np.zeros(len(raw), bool)
+    if len(raw) < gap:
+        return found
+    low = _slide(h, gap, np.minimum)
+    edge = np.zeros(gap - 1, np.uint32)
+    found = (h == _slide(np.concatenate([edge, low, edge]), gap, np.maximum)) & (h != _NONE)
+    for k in range(1, EVEN + 1):
+        found[k:] &= h[k:] != h[:-k]
+    return found
+
+
+def cuts(data: bytes, gap: int = GAP) -> np.ndarray:
+    """Places of the cuts, from 0 to the end; none stands within a character. Long texts are hashed in sections, with the same result."""
+    if not data:
+        return np.zeros(1, np.int64)
+    raw, around = np.frombuffer(data, np.uint8), WIDTH + 2 * gap + EVEN
+    out = [np.zeros(1, np.int64)]
+    for at in range(0, len(raw), SECTION):
+        low, top = max(0, at - around), min(len(raw), at + SECTION + around)
+        inside = np.flatnonzero(_places(raw[low:top], gap)) + low + 1
+        out.append(inside[(inside > at) & (inside <= at + SECTION) & (inside < len(raw))])
+    out.append(np.array([len(raw)], np.int64))
+    return np.concatenate(out)
 
 
 def chunks(data: bytes, gap: int = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,46 +88,71 @@ def chunks(data: bytes, gap: int = GAP) -> tuple[np.ndarray, np.ndarray, np.ndar
     at = cuts(data, gap)
     if len(at) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts, ends = (at[:-2], at[2:]) if len(at) > 2 else (at[:1], at[1:])
+    to = np.searchsorted(at, at[:-1] + CHUNK)
+    to = to[to < len(at)] if to[0] < len(at) else np.array([len(at) - 1])
+    starts, ends = at[: len(to)], at[to]
     digest = xxhash.xxh3_64_digest
     found = b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
     return starts, ends, np.frombuffer(found, ">i8").astype(np.int64)
 
 
 def chunk_table(docs: DataFrame, gap: int = GAP) -> DataFrame:
-    """doc_id, mark (of the text, to tell apart texts of equal doc_id), digest, start, end of each chunk."""
+    """doc_id, row, digest, start, end of each chunk; docs carry gm_row."""
     prepare(docs.sparkSession)
+    names = ["doc_id", "row", "digest", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
-            parts = [chunks(x, gap) for x in texts]
-            at = pa.array(np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts]))
-            marks = pa.array(np.array([xxhash.xxh32_intdigest(x) for x in texts], np.uint32).view(np.int32))
-            start, end, digest = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            yield pa.record_batch([batch.column(0).take(at), marks.take(at), pa.array(digest), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "mark", "digest", "start", "end"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, mark int, digest long, start int, end int")
-
-
-def repeated_spans(docs: DataFrame, gap: int = GAP, least: int = RUN_BYTES) -> DataFrame:
-    """doc_id, mark, start, end (bytes of the text in UTF-8), digest (of the first chunk), first (all its chunks occur here first), later (the others) of each repeat."""
-    pieces = chunk_table(docs, gap)
-    several = pieces.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start")).alias("origin")).filter("n > 1")
-    several = materialize(several.select("digest", "origin"), "cdc-digests")
-    own = F.struct("doc_id", "mark", "start")
-    twice = pieces.join(several, "digest").select("doc_id", "mark", "start", "end", "digest", own.eqNullSafe(F.col("origin")).alias("first"))
-    # Chunks of a run overlap: each begins before the one before it ends.
-    order = Window.partitionBy("doc_id", "mark").orderBy("start")
-    runs = twice.withColumn("new", F.when(F.col("start") < F.lag("end").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    joined = runs.groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("digest", "start").alias("digest"), F.bool_and("first").alias("first"), F.collect_list(F.when(~F.col("first"), F.struct("start", "end"))).alias("later"))
-    return joined.filter(F.col("end") - F.col("start") >= least).select("doc_id", "mark", "start", "end", "digest", "first", "later")
-
-
-def remove_repeats(docs: DataFrame, gap: int = GAP, least: int = RUN_BYTES) -> DataFrame:
+            held, n = [], 0
+
+            def flush(batch=batch) -> Iterator[pa.RecordBatch]:
+                at = pa.array(np.repeat([i for i, _ in held], [len(p[0]) for _, p in held]).astype(np.int64))
+                start, end, digest = (np.concatenate([p[i] for _, p in held]) for i in range(3))
+                for a in range(0, len(start), ROWS):
+                    part = slice(a, a + ROWS)
+                    here = at[a : a + ROWS]
+                    yield pa.record_batch([batch.column(0).take(here), batch.column(1).take(here), pa.array(digest[part]), pa.array(start[part].astype(np.int32)), pa.array(end[part].astype(np.int32))], names)
+
+            for i, value in enumerate(batch.column(2)):
+                held.append((i, chunks(value.as_py() or b"", gap)))
+                n += len(held[-1][1][0])
+                if n >= ROWS:
+                    yield from flush()
+                    held, n = [], 0
+            if n:
+                yield from flush()
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("gm_row").alias("row"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row struct<f:long,i:long>, digest long, start int, end int")
+
+
+def repeated_spans(docs: DataFrame, gap: int = GAP, least: int = LEAST) -> DataFrame:
+    """doc_id, row, start, end (bytes of the text in UTF-8), digest (of the first chunk), first (all its chunks occur here first), later (the others) of each repeat.
+
+    docs with a column gm_row keep it as row; others get row numbers here."""
+    docs = docs if "gm_row" in docs.columns else with_row_id(docs)
+    pieces = materialize(chunk_table(docs, gap), "cdc-chunks")
+    several = materialize(pieces.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "cdc-digests")
+    hot = materialize(hot_keys(several, "digest").select("digest"), "cdc-hot")
+    # Where a chunk stands first: a hot digest's place by partial aggregation, the others' within the partitions of the join.
+    here = F.struct("doc_id", "row", "start")
+    hot_first = materialize(pieces.join(F.broadcast(hot), "digest").groupBy("digest").agg(F.min(here).alias("origin")), "cdc-hot-first")
+    often = pieces.join(F.broadcast(hot_first), "digest").withColumn("first", here.eqNullSafe(F.col("origin"))).drop("origin")
+    rest = pieces.join(F.broadcast(hot), "digest", "left_anti").join(several.select("digest").hint("merge"), "digest", "left_semi")
+    rest = rest.withColumn("first", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id", "row", "start")) == 1)
+    twice = often.unionByName(rest)
+    # Chunks of a run overlap or touch: each begins no later than the one before it ends.
+    order = Window.partitionBy("row").orderBy("start")
+    runs = twice.withColumn("new", F.when(F.col("start") <= F.lag("end").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    joined = runs.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("digest", "start").alias("digest"), F.bool_and("first").alias("first"), F.collect_list(F.when(~F.col("first"), F.struct("start", "end"))).alias("later"))
+    return joined.filter(F.col("end") - F.col("start") >= least).select("doc_id", "row", "start", "end", "digest", "first", "later")
+
+
+def remove_repeats(docs: DataFrame, gap: int = GAP, least: int = LEAST) -> DataFrame:
     """docs with all columns, where the chunks of repeats that occur earlier are cut out of the text; each piece stays at its first place."""
-    spans = repeated_spans(docs, gap, least).groupBy("doc_id", "mark").agg(F.array_sort(F.flatten(F.collect_list("later"))).alias("gm_spans"))
-    spans = materialize(spans, "cdc-spans").withColumnsRenamed({"doc_id": "gm_doc_id", "mark": "gm_mark"})
+    marked = with_row_id(docs)
+    spans = repeated_spans(marked, gap, least).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("later"))).alias("gm_spans"))
+    spans = materialize(spans.withColumnRenamed("row", "gm_of"), "cdc-spans")
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -108,15 +166,10 @@ def remove_repeats(docs: DataFrame, gap: int = GAP, least: int = RUN_BYTES) -> D
             out.append(None if text is None else text.decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
-    def marks(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([xxhash.xxh32_intdigest(t or b"") for t in texts], np.uint32).view(np.int32))
-
-    marked = docs.withColumn("gm_text", F.col("text").cast("binary"))
-    marked = marked.withColumn("gm_own", pandas_udf(marks, "int")("gm_text"))
-    found = marked.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("gm_doc_id")) & (F.col("gm_own") == F.col("gm_mark")), "left")
+    found = marked.join(spans, F.col("gm_row") == F.col("gm_of"), "left").withColumn("gm_text", F.col("text").cast("binary"))
     return found.withColumn("text", pandas_udf(cut, "string")("gm_text", "gm_spans")).select(*docs.columns)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, end (bytes), digest, first of each repeated passage of documents; rows without one give none."""
-    return repeated_spans(table(spark, sf_dir, "documents")).drop("mark", "later")
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("row", "later")

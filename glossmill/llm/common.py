@@ -10,9 +10,12 @@ from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; texts can be long, so batches stay small.
-ARROW_ROWS = 1000
+#: Bytes handed to Python at once; a longer text makes a batch of its own.
+ARROW_BYTES = 4 << 20
+#: A key that holds more than one row in HOT is hot: there are fewer than HOT of these, whatever the size of the table.
+HOT = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the batches that Python gets, and ship this package to the executors once for each application."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the bytes of the batches that Python gets (a session setting that changes no result), and ship this package to the executors once for each application."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
@@ -69,6 +72,30 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row_id(docs: DataFrame, name: str = "gm_row") -> DataFrame:
+    """docs with a column that tells rows apart, also those that are equal in all columns.
+
+    Rows that come straight from Parquet files are known by file and place, which needs no copy and is the same in every scan. Others are
+    written once with a number.
+    """
+    if "_metadata#" not in docs._jdf.queryExecution().analyzed().metadataOutput().toString():  # not a scan of files
+        return materialize(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))), "rows")
+    return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").cast("long").alias("i")))
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The rows of counts (one a key, n: its rows) whose key is hot: fewer than HOT, small enough to broadcast."""
+    total = counts.agg(F.sum(n)).first()[0] or 0  # one number
+    return counts.filter(F.col(n) > max(1, total // HOT))
+
+
+def join_by(rows: DataFrame, facts: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts (one row a key): hot keys by broadcast, so that none gathers in a task, the others by shuffle."""
+    few = F.broadcast(facts.join(F.broadcast(hot.select(key)), key, "left_semi"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(facts.hint("merge"), key))
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """A file system and a path in it, for executors that write or read plain files."""
     if "://" not in uri and not uri.startswith("file:"):

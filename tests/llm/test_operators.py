@@ -1,6 +1,7 @@
 """The ten operators against brute force on small fixtures, and their defined cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -115,19 +116,89 @@ def test_pii_on_odd_rows(docs, rows):
 # op2
 
 
-def test_chunks_resist_shifts():
+def slow_cuts(data):
+    """The cuts, one place after the other."""
+    top = 2**32 - 1
+    hashes = []
+    for i in range(len(data)):
+        h = 0
+        for b in data[max(0, i - cdc.WIDTH + 1) : i + 1]:
+            h = ((h << 1) + int(cdc.GEAR[b])) % 2**32
+        hashes.append(top if i < cdc.WIDTH - 1 or (i + 1 < len(data) and data[i + 1] & 0xC0 == 0x80) else h)
+    found = {i for w in range(len(data) - cdc.GAP + 1) for i in range(w, w + cdc.GAP) if hashes[i] == min(hashes[w : w + cdc.GAP]) != top}
+    found -= {i for i in found if hashes[i] in hashes[max(0, i - cdc.EVEN) : i]}
+    return sorted({0, len(data)} | {i + 1 for i in found})
+
+
+def slow_spans(rows):
+    """(doc_id, start, end, first) of each repeat, by dictionaries."""
+    pieces = []
+    for n, (doc_id, text) in enumerate(rows):
+        data, at = (text or "").encode(), slow_cuts((text or "").encode())
+        spans = [(s, next((e for e in at if e >= s + cdc.CHUNK), None)) for s in at[:-1]]
+        spans = [x for x in spans if x[1]] or [(0, len(data))] * bool(data)
+        for s, e in spans:
+            pieces.append((data[s:e], (doc_id is not None, doc_id or 0, n, s), e))
+    by = {}
+    for piece, place, _ in pieces:
+        by.setdefault(piece, []).append(place)
+    runs = {}
+    for piece, place, e in sorted((x for x in pieces if len(by[x[0]]) > 1), key=lambda x: x[1][2:]):
+        of = runs.setdefault(place[2], [])
+        first = place == min(by[piece])
+        if of and place[3] <= of[-1][1]:
+            of[-1] = (of[-1][0], e, of[-1][2] and first)
+        else:
+            of.append((place[3], e, first))
+    return Counter((rows[n][0], s, e, f) for n, of in runs.items() for s, e, f in of if e - s >= cdc.LEAST)
+
+
+def test_cuts_resist_shifts_and_never_lie_far_apart(monkeypatch):
     rng = random.Random(2)
-    data = words(rng, 3000).encode()
+    data = words(rng, 1000).encode()
     a, b = (set(cdc.chunks(x)[2].tolist()) for x in (data, b"some words in front " + data))
-    assert len(a - b) <= 3 and cdc.cuts(b"").tolist() == [0]
-    slow = [0]
-    for i in range(len(data)):  # the hash of a place, one byte after the other
-        h = 0
-        for b_ in data[max(0, i - cdc.WIDTH + 1) : i + 1]:
-            h = ((h << 1) + int(cdc.GEAR[b_])) % 2**64
-        if i == len(data) - 1 or (i >= cdc.WIDTH - 1 and (h >> (cdc.WIDTH - 1) & 0xFFFF) < 65536 // cdc.GAP):
-            slow.append(i + 1)
-    assert cdc.cuts(data).tolist() == slow
+    assert len(a - b) <= 6 and cdc.cuts(b"").tolist() == [0]
+    for x in (data, "é€😀x".encode() * 60, b"ab" * 500, b"a" * 300, words(rng, 20).encode() * 3, b"short", bytes(range(97, 110)) * 9):
+        assert cdc.cuts(x).tolist() == slow_cuts(x)
+    whole = cdc.cuts(data)
+    assert np.diff(whole[1:-1]).max() <= cdc.GAP
+    monkeypatch.setattr(cdc, "SECTION", 100)
+    assert cdc.cuts(data).tolist() == whole.tolist()
+
+
+def test_every_repeat_from_the_sure_length_on_is_found():
+    """The recall by length; letters of a small alphabet make short words."""
+    rng = random.Random(6)
+    for least, length in ((0.9, 136), (1.0, cdc.SURE), (1.0, 196)):
+        found = 0
+        for _ in range(200):
+            text = lambda n: "".join(rng.choice("abcdefgh    ") for _ in range(n)).encode()
+            passage = text(length)
+            one, two = (cdc.chunks(text(150) + passage + text(150)) for _ in range(2))
+            shared, run, best = set(one[2].tolist()), None, 0
+            for s, e, d in zip(*(x.tolist() for x in two)):
+                if d in shared:
+                    run = (run[0], e) if run and s <= run[1] else (s, e)
+                    best = max(best, run[1] - run[0])
+            found += best >= cdc.LEAST
+        assert found >= least * 200
+
+
+def test_spans_and_cleaned_texts_match_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    passages = [words(rng, 30, 10**6) for _ in range(8)]
+    rows = [(i, " ".join([words(rng, 15, 10**6), rng.choice(passages), words(rng, 9, 10**6), *rng.sample(passages, rng.randrange(3))])) for i in range(40)]
+    rows += [rows[4], rows[4], (None, rows[7][1]), (None, rows[7][1]), (None, None), (50, ""), (51, "x"), (52, "x"), (53, passages[0] + passages[0])]
+    table = spark.createDataFrame([(a, b, "d") for a, b in rows], "doc_id long, text string, digest string").coalesce(1)
+    for hot in (cdc.hot_keys, lambda counts, key: counts.filter("n > 3")):  # and with the hot way
+        monkeypatch.setattr(cdc, "hot_keys", hot)
+        got = Counter((r.doc_id, r.start, r.end, r.first) for r in cdc.repeated_spans(table).collect())
+        assert got == slow_spans(rows)
+    kept = cdc.remove_repeats(table).collect()
+    assert kept[0].__fields__ == ["doc_id", "text", "digest"] and len(kept) == len(rows)
+    same = sorted(len(r.text) for r in kept if r.doc_id == 4)
+    assert sum(n < 60 for n in same) == 2  # of equal rows the first stays
+    assert sum(not r.text for r in kept if r.doc_id is None) >= 2
 
 
 def test_repeats_are_found_and_clean_texts_left(spark, empty, docs):
@@ -148,31 +219,54 @@ def test_repeats_are_found_and_clean_texts_left(spark, empty, docs):
 # op3
 
 
-def test_top_k_is_exact_with_ties(spark):
+def slow_top(vectors, k=20, scale=64):
+    """query_id, rank, vec_id, score by whole numbers of any size."""
+    good = [(i, [math.floor(scale * x) for x in v]) for i, v in vectors if i is not None and v is not None and None not in v and all(map(math.isfinite, v))]
+    good = [(i, [max(-(2**62), min(2**62, x)) for x in v]) for i, v in good]
+    for n, (q, v) in enumerate(good):
+        if q % 20 == 0:
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for m, (i, w) in enumerate(good) if m != n and len(w) == len(v)]
+            yield from ((q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k]))
+
+
+@pytest.mark.parametrize("size", [1.0, 1.0e6, 1.0e9, 1.0e300])
+def test_top_k_is_exact(spark, monkeypatch, size):
     rng = np.random.default_rng(1)
-    vectors = [(i, [float(x) for x in np.round(rng.normal(size=8), 1)]) for i in range(900)]
-    vectors += [(1000 + i, vectors[7][1]) for i in range(60)] + [vectors[3], (2000, None), (2001, [1.0, None] * 4), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, [1.0] * 8), (2005, [])]
+    vectors = [(i, [float(x) * size for x in np.round(rng.normal(size=8), 1)]) for i in range(400)]
+    vectors += [(1000 + i, vectors[7][1]) for i in range(40)] + [vectors[3], vectors[20], vectors[20], (2000, None), (2001, [1.0, None] * 4), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, [1.0] * 8), (2005, []), (2020, []), (2040, [3.0, 1.0, 2.0]), (2041, [1.0, 1.0, 1.0])]
     table = spark.createDataFrame([(a, b, 1) for a, b in vectors], "vec_id long, embedding array<double>, rank int")
-    found = {}
-    for r in topk.top_k(table, F.col("vec_id") % 20 == 0).collect():
-        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    good = {i: np.floor(64 * np.array(v)) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()}
-    for q in [i for i in good if i % 20 == 0]:
-        want = sorted(((-int(good[q] @ v), i) for i, v in good.items() if i != q))[:20]
-        assert sorted(found.pop(q)) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
-    assert not found
+    monkeypatch.setattr(topk, "CANDIDATES", 150)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    assert Counter(map(tuple, topk.top_k(table, F.col("vec_id") % 20 == 0).collect())) == Counter(slow_top(vectors))
     assert topk.top_k(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
-    assert topk.top_k(table.filter("vec_id < 3"), F.col("vec_id") % 20 == 0).count() == 2
 
 
-def test_bounds_hold():
+def test_top_k_with_few_rows(spark):
+    table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert topk.top_k(table, F.col("vec_id") % 20 == 0).count() == 2
+
+
+def test_lists_are_read_in_order_and_only_as_far_as_needed():
     rng = np.random.default_rng(2)
-    x, q = rng.integers(-64, 64, (500, 16)), rng.integers(-64, 64, (9, 16)).astype(float)
-    lists = topk.Lists(np.arange(500), x)
-    for share in (0.01, 0.3, 0.9, 1.0):
-        low, high = lists.bounds(np.maximum(q, 0), np.minimum(q, 0), share)
+    x, q = rng.integers(-64, 64, (501, 16)), rng.integers(-64, 64, (9, 16))
+    lists = topk.Lists(x)
+    for share in (0.01, 0.3, 0.45, 0.5):
+        lists.read_to(share)
+        assert lists.count == lists.seen.sum() and (lists.values == np.where(lists.seen, x, 0)).all()
+        assert all((x[~lists.seen[:, d], d] >= lists.low[d]).all() and (x[~lists.seen[:, d], d] <= lists.high[d]).all() for d in range(16))
+        low, high = lists.bounds(q, lists.seen.astype(float), lists.values.astype(float))
         score = q @ x.T
-        assert (low <= score).all() and (score <= high).all() and (share < 1 or (low == high).all())
+        assert (low <= score).all() and (score <= high).all()
+    assert lists.ended and lists.count == x.size
+    # Two far groups: the bounds settle early, and reading stops before the middle, where the small values lie.
+    x = np.concatenate([rng.integers(900, 1000, (30, 4)), rng.integers(-9, 9, (2000, 4)), rng.integers(-1000, -900, (30, 4))])
+    ids = np.arange(len(x))
+    lists = topk.Lists(x)
+    found = list(topk.block_top(lists, ids, ids, np.arange(5), x[:5], 20))
+    assert lists.count < x.size
+    for i, at, scores in found:
+        want = sorted((-int(x[i] @ v), j) for j, v in enumerate(x) if j != i)[:20]
+        assert [(-s, j) for s, j in zip(scores.tolist(), at.tolist(), strict=True)] == want
 
 
 # op4
@@ -245,17 +339,27 @@ def test_ans_round_trip_and_damage():
     assert (ans.decode_block(ans.encode_block(np.ones(100, np.int64), [], one), one) == 1).all()
 
 
-def test_word_encoder_is_the_library():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_is_the_library(name, monkeypatch):
     import public_tokenizers
 
-    encoder = ans.encoder_at(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = ans.TextEncoder(public_tokenizers.path(name))
+    assert encoder.by_words == name.startswith("word")
+    monkeypatch.setattr(encoder, "CHARS", 200)
+    encoder.words.most = 500
     rng = random.Random(8)
-    signs = ["don't", "WE'LL", "''s", "!'s", "a", "É", "ß", "ﬁ", "İ", "Σς", "ΑΣ", "\x1c", "\x85", "\xa0", "²", "½", "12", "<|endoftext|>", "<|", "日本", "é", " ", "\n", "\t", "--", "\x00", "ŉ", "ſ", "ª", "😀", "\x7f", "'", "x'x"]
-    for _ in range(3000):
+    signs = ["don't", "WE'LL", "''s", "!'s", "a", "É", "ß", "ﬁ", "İ", "Σς", "ΑΣ", "\x1c", "\x85", "\xa0", "²", "½", "12", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "日本", "é", " ", "\n", "\t", "--", "\x00", "ŉ", "ſ", "ª", "µ", "😀", "\x7f", "'", "x'x", "end.", "(a)", "ÿ%%%", "\u0301", "\u200d", "w" * 60]
+    for _ in range(2000):
         text = "".join(rng.choice(signs) for _ in range(rng.randrange(9)))
         assert encoder.encode(text) == encoder.whole(text), repr(text)
-    texts = [" ".join(rng.choice(["it's", "we're", "x'll", "'dy", "'", "''t", "a1b22", "Über", "naïve!?", "\n", ""]) for _ in range(rng.randrange(30))) for _ in range(500)]
+    texts = [" ".join(rng.choice(["it's", "we're", "x'll", "'dy", "'", "''t", "a1b22", "Über", "naïve!?", "\n", ""]) for _ in range(rng.randrange(90))) for _ in range(300)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(32, 0x3000), 32])) for _ in range(40)) for _ in range(1500)]
     assert encoder.encode_many(texts) == [encoder.whole(x) for x in texts]
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    assert encoder.encode(f"{word} {other} {word}") == encoder.whole(f"{word} {other} {word}")
 
 
 def test_token_output_matches_the_library(spark, docs, rows, empty):
@@ -263,13 +367,15 @@ def test_token_output_matches_the_library(spark, docs, rows, empty):
 
     encoder = ans.encoder_at(public_tokenizers.path("word_bpe_49k.json"))
     got = ans.token_output(docs).collect()
-    ids = sorted(((r[0] is not None, r[0] or 0, encoder.whole(r[1] or "") + b"\x01\x00") for r in rows), key=lambda x: (x[0], x[1], x[2]))
+    ids = sorted(((r[0] is not None, r[0] or 0, encoder.whole(r[1] or "") + b"\x01\x00") for r in rows), key=lambda x: x[:2])
     start, want = 0, Counter()
+    for r, (has, key, _) in zip(sorted(got, key=lambda r: r.start), ids, strict=True):  # in ascending order, each where the one before ends
+        assert (r.doc_id, r.start) == (key if has else None, start)
+        start += r.n_tokens
     for has, key, data in ids:
         n = np.frombuffer(data, "<u2").astype("<u4")
-        want[key if has else None, start, len(n), zlib.crc32(n.tobytes())] += 1
-        start += len(n)
-    assert {(a, b, c) for a, b, c, _ in want} == {(r.doc_id, r.start, r.n_tokens) for r in got} and Counter(map(tuple, got)) == want
+        want[key if has else None, len(n), zlib.crc32(n.tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     assert ans.token_output(empty).count() == 0
 
 
