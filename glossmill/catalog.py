@@ -11,6 +11,7 @@ from .functions import locale as L
 from .functions import text as T
 from .operators import inventory, language, lint, memo, mentions, ocr, status, terms
 from .plans import tables as P
+from .sources import readers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -115,36 +116,49 @@ def script_share(spark, d):
     return t.select("doc_id", T.count_of("t", r"[԰-֏]").alias("armenian"), T.count_of("t", r"[Ѐ-ӿ]").alias("cyrillic"), T.count_of("t", "[A-Za-zČčŠšŽžĆćĐđ]").alias("latin"), T.count_of("t", "[ćĆđĐ]").alias("orthography"), T.script("t").alias("script"))
 
 
-_TOKENS = "(SELECT doc_id, lang, text, regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{No}]{2,}') AS w FROM documents)"
-_VOCAB = f"(SELECT lang, word FROM (SELECT DISTINCT doc_id, lang, unnest(w) AS word FROM {_TOKENS} WHERE doc_id % 2 = 0) GROUP BY lang, word HAVING count(*) >= 3)"
-_DISC = f"(SELECT word, min(lang) AS lang FROM {_VOCAB} GROUP BY word HAVING count(*) = 1)"
-_DETECT = f"""(SELECT b.doc_id, b.lang, CASE WHEN n < 60 THEN 'unknown' WHEN conf >= 0.30 THEN best ELSE 'unknown' END AS predicted, CASE WHEN n < 60 THEN 0.0 ELSE coalesce(conf, 0.0) END AS confidence FROM
-  (SELECT doc_id, lang, len(w) AS n FROM {_TOKENS} WHERE doc_id % 2 = 1) b LEFT JOIN
-  (SELECT doc_id, best, least(1.0::DOUBLE, (s1 - s2)::DOUBLE / s1 * 2.5::DOUBLE) * CASE WHEN n < 100 THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS conf FROM (
-    SELECT doc_id, any_value(n) AS n, max(lang) FILTER (WHERE r = 1) AS best, max(s) FILTER (WHERE r = 1) AS s1, coalesce(max(s) FILTER (WHERE r = 2), 0) AS s2 FROM (
-      SELECT doc_id, lang, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM (
-        SELECT t.doc_id, v.lang, count(*) AS s, any_value(n) AS n FROM (SELECT DISTINCT doc_id, len(w) AS n, unnest(w) AS word FROM {_TOKENS} WHERE doc_id % 2 = 1) t JOIN {_DISC} v USING (word) GROUP BY t.doc_id, v.lang)) GROUP BY doc_id)) r USING (doc_id))"""
+# Two folds by doc_id: each text is scored with the words learned from the other fold, and every text has its row. Some texts are
+# written in Cyrillic or Armenian letters and called hbs or hy, so that every branch has rows.
+_FOLDED = "(SELECT doc_id, doc_id % 2 AS fold, CASE WHEN doc_id % 11 IN (3, 4) THEN 'hbs' WHEN doc_id % 11 = 5 THEN 'hy' ELSE lang END AS lang, CASE WHEN doc_id % 11 = 5 THEN translate(lower(text), 'aeinorst', 'աեինորստ') WHEN doc_id % 11 = 3 THEN translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхијклмнопљрстувњџѕз') WHEN doc_id % 11 = 4 THEN translate(lower(text), 'aeinorst', 'аеинорст') ELSE text END AS text FROM documents)"
+_TOKENS = f"(SELECT *, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{2,}}') AS w FROM {_FOLDED})"
+_VOCAB = f"(SELECT fold, lang, word FROM (SELECT DISTINCT fold, doc_id, lang, unnest(w) AS word FROM {_TOKENS}) GROUP BY ALL HAVING count(*) >= 3)"
+_DISC = f"(SELECT fold, word, min(lang) AS lang FROM {_VOCAB} GROUP BY fold, word HAVING count(*) = 1)"
+_LETTERS = "(SELECT *, CAST(len(regexp_extract_all(text, '[\\x{0530}-\\x{058F}]')) AS DOUBLE) AS a, CAST(len(regexp_extract_all(text, '[\\x{0400}-\\x{04FF}]')) AS DOUBLE) AS y, CAST(len(regexp_extract_all(text, '[A-Za-zČčŠšŽžĆćĐđ]')) AS DOUBLE) AS l, len(regexp_extract_all(text, '[ćĆđĐ]')) >= 2 AS halved FROM TOKENS)".replace("TOKENS", _TOKENS)
+_SCRIPTED = f"(SELECT *, CASE WHEN a + y + l = 0 THEN 'none' WHEN a / (a + y + l) > 0.30 THEN 'armenian' WHEN y / (a + y + l) > 0.30 THEN 'cyrillic' ELSE 'latin' END AS script FROM {_LETTERS})"
+_DETECT = f"""(WITH t AS MATERIALIZED (SELECT doc_id, fold, lang, len(w) AS n, list_distinct(w) AS u, script, halved FROM {_SCRIPTED}),
+  known AS (SELECT 1 - fold AS fold, word, lang, 'latin' AS script FROM {_DISC} UNION ALL SELECT 1 - fold, word, 'hbs', 'cyrillic' FROM {_VOCAB} WHERE lang = 'hbs' AND regexp_matches(word, '[\\x{{0400}}-\\x{{04FF}}]')),
+  s AS (SELECT doc_id, v.lang, count(*) * CASE WHEN any_value(halved) AND v.lang = 'sl' THEN 0.5 ELSE 1.0 END::DOUBLE AS s FROM (SELECT doc_id, fold, script, halved, unnest(u) AS word FROM t WHERE n >= 60) x JOIN known v USING (fold, word, script) GROUP BY doc_id, v.lang),
+  r AS (SELECT doc_id, max(lang) FILTER (WHERE q = 1) AS best, max(s) FILTER (WHERE q = 1) AS s1, coalesce(max(s) FILTER (WHERE q = 2), 0)::DOUBLE AS s2 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS q FROM s) GROUP BY doc_id),
+  c AS (SELECT t.doc_id, t.lang, n, script, best, CASE WHEN script <> 'cyrillic' THEN least(1.0::DOUBLE, (s1 - s2) / s1 * 2.5::DOUBLE) * CASE WHEN n < 100 THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END WHEN s1 / len(u) >= 0.20 THEN least(1.0::DOUBLE, s1 / len(u) * 3) END AS conf FROM t LEFT JOIN r USING (doc_id))
+  SELECT doc_id, lang, CASE WHEN n < 60 THEN 'unknown' WHEN script = 'armenian' THEN 'hy' WHEN conf >= 0.30 THEN best ELSE 'unknown' END AS predicted, CASE WHEN n < 60 THEN 0.0 WHEN script = 'armenian' THEN 1.0 ELSE coalesce(conf, 0.0) END::DOUBLE AS confidence FROM c)"""
+
+
+def _folded(spark, d):
+    return spark.sql(f"SELECT * FROM {_FOLDED}".replace("FROM documents", "FROM {docs}"), docs=_docs(spark, d))
 
 
 def _trained(spark, d):
-    return language.vocabulary(_docs(spark, d).filter("doc_id % 2 = 0"))
+    return language.vocabulary(_folded(spark, d), by=["fold"])
 
 
-@_query(f"SELECT lang, count(*) AS words FROM {_VOCAB} GROUP BY lang")
+@_query(f"SELECT fold, lang, count(*) AS words FROM {_VOCAB} GROUP BY ALL")
 def lang_vocab(spark, d):
-    return _trained(spark, d).groupBy("lang").agg(F.count("*").alias("words"))
+    return _trained(spark, d).groupBy("fold", "lang").agg(F.count("*").alias("words"))
 
 
 @_query(f"SELECT * FROM {_DISC}")
 def lang_disc_vocab(spark, d):
-    return language.discriminative(_trained(spark, d))
+    return language.discriminative(_trained(spark, d), ["fold"])
 
 
-def _detected(spark, d):
-    docs = _docs(spark, d).filter("doc_id % 2 = 1")
+@_query(f"SELECT word, 'both' AS lang FROM (SELECT word FROM {_VOCAB} WHERE lang = 'de' UNION SELECT word FROM {_VOCAB} WHERE lang = 'en')")
+def lang_joined_vocab(spark, d):
     vocab = _trained(spark, d)
-    found = language.detect(docs, language.discriminative(vocab), language.cyrillic_words(vocab))
-    return docs.select("doc_id", "lang").join(found, "doc_id")
+    return language.joined(vocab.filter("lang = 'de'"), vocab.filter("lang = 'en'"), "both")
+
+
+def _detected(spark, d):
+    other = _trained(spark, d).withColumn("fold", 1 - F.col("fold"))
+    return language.detect(_folded(spark, d), language.discriminative(other, ["fold"]), language.cyrillic_words(other, ["fold"]), ["lang"], ["fold"])
 
 
 @_query(f"SELECT * FROM {_DETECT}")
@@ -357,9 +371,9 @@ _CITED = "text || CASE doc_id % 4 WHEN 0 THEN ' po 5. čl. KZ-1 in Ustave' WHEN
 
 @_query("SELECT doc_id, doc_id % 4 < 2 AS flagged, CASE doc_id % 4 WHEN 0 THEN 'čl.|KZ-1|Ustave' WHEN 1 THEN 'Uradni list|ZPP' ELSE '' END AS cites FROM documents")
 def cite_flagged(spark, d):
-    t = _docs(spark, d).select("doc_id", F.expr(_CITED).alias("t"))
     c = T.citations("t")
-    return t.select("doc_id", (F.size(c) > 0).alias("flagged"), F.array_join(F.array_sort(c, lambda a, b: F.when(F.lower(F.translate(a, "č", "c")) < F.lower(F.translate(b, "č", "c")), -1).otherwise(1)), "|").alias("cites"))
+    cited = _docs(spark, d).select("doc_id", F.expr(_CITED).alias("t"))
+    return cited.select("doc_id", (F.size(c) > 0).alias("flagged"), F.array_join(c, "|").alias("cites"))
 
 
 # Terms
@@ -403,7 +417,7 @@ def term_conflicts(spark, d):
     return terms.candidates(_terms(spark, d))
 
 
-@_query()
+@_query(f"SELECT * FROM {_TERM_SQL} x WHERE NOT EXISTS (SELECT 1 FROM {_TERM_SQL} y WHERE y.rendering = x.rendering AND contains(x.source, y.source) AND (y.segments > x.segments OR (y.segments = x.segments AND y.source < x.source))) ORDER BY segments DESC, source, rendering LIMIT 60")
 def term_worklist(spark, d):
     return terms.shortest(terms.candidates(_terms(spark, d), pin_all=True), 60)
 
@@ -439,7 +453,7 @@ def ocr_bands(spark, d):
     return _rates(spark, d).filter("pct >= 1").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@_query(f"SELECT page, count(*) AS words, count(*) FILTER (WHERE conf < 40) AS low, count(*) FILTER (WHERE conf BETWEEN 40 AND 59) AS middling, count(*) FILTER (WHERE conf < 40 AND regexp_matches(word, '[0-9]')) AS low_digits FROM {P.OCR} GROUP BY page")
+@_query(f"SELECT page, count(*) AS words, count(*) FILTER (WHERE conf < 40) AS low, count(*) FILTER (WHERE conf BETWEEN 40 AND 59) AS middling, count(*) FILTER (WHERE conf < 40 AND regexp_matches(word, '[0-9]')) AS low_digits, 100.0::DOUBLE * count(*) FILTER (WHERE conf < 40) / count(*) AS pct FROM {P.OCR} GROUP BY page")
 def ocr_profile(spark, d):
     return ocr.profile(P.ocr_words(_docs(spark, d)), "page")
 
@@ -530,7 +544,7 @@ def batchable_lines(spark, d):
 def translate_stub(spark, d):
     """The translator is injected; here a stub that answers numbered requests in capitals."""
     wanted = memo.keyed(P.segments(_docs(spark, d)).select("text"), "sl-en", "m1", "v5").dropDuplicates(["key"])
-    return memo.translate(wanted, str.upper)
+    return memo.translate(wanted, str.upper, wait=0.0)
 
 
 # Files of a run
@@ -578,3 +592,142 @@ def cell_translation(spark, d):
 @_query("SELECT doc_id, CASE WHEN de > en THEN 'de' WHEN en > de THEN 'en' ELSE 'none' END AS marked FROM (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), ' der ', ''))) // 5 AS de, (length(lower(text)) - length(replace(lower(text), ' the ', ''))) // 5 AS en FROM documents)")
 def marker_hits(spark, d):
     return language.marked(_docs(spark, d), "doc_id", {"de": [" der "], "en": [" the "]})
+
+
+# Current keys, prompts and replies
+
+_MEMORY = f"(SELECT conv_id, turn, src, tgt, sha256(concat_ws(chr(0), 'sl-en', 'm1', CASE WHEN conv_id % 3 = 0 THEN 'v4' ELSE 'v5' END, src)) AS key FROM {P.TURNS})"
+
+
+@_query(f"SELECT conv_id, turn, key FROM {_MEMORY} WHERE key = sha256(concat_ws(chr(0), 'sl-en', 'm1', 'v5', src))")
+def memo_current(spark, d):
+    version = F.when(F.col("conv_id") % 3 == 0, "v4").otherwise("v5")
+    rows = P.turns(P.load(spark, d, "conversations")).withColumn("key", T.memo_key(F.lit("sl-en"), F.lit("m1"), version, "src"))
+    return memo.current_rows(rows, "sl-en", "m1", "v5").select("conv_id", "turn", "key")
+
+
+@_query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Into English' ELSE 'From Slovene into English.' END || chr(10) || b AS prompt FROM (SELECT doc_id, CASE WHEN b = '' THEN '' ELSE 'Required terminology:' || b END AS b FROM (SELECT doc_id, {_BLOCK} AS b FROM documents))")
+def prompt_build(spark, d):
+    project = F.when(F.col("doc_id") % 2 == 0, "Into {TGT}\n{GLOSSARY}")
+    blocks = glossary_block(spark, d)
+    return blocks.select("doc_id", T.build_prompt([F.lit("From {SRC} into {TGT}.\n{GLOSSARY}"), F.lit(None).cast("string"), project], "sl", "en", "block").alias("prompt"))
+
+
+_REPLY = "CASE doc_id % 3 WHEN 0 THEN '<think>' || left(text, 20) || chr(10) || 'x</think>' || left(text, 50) WHEN 1 THEN '```text' || chr(10) || left(text, 50) || chr(10) || '```' ELSE left(text, 50) END"
+
+
+@_query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(r, '<think>(?s:.*?)</think>', '', 'g'), '(?m)^```[^\\n]*$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS reply FROM (SELECT doc_id, {_REPLY} AS r FROM documents)")
+def reply_cleanup(spark, d):
+    reply = F.expr(_REPLY.replace("chr(", "char("))
+    return _docs(spark, d).select("doc_id", T.without_fences(T.without_thoughts(reply)).alias("reply"))
+
+
+@_query("SELECT doc_id, text FROM (SELECT doc_id, regexp_replace('<think>a' || chr(10) || 'b</think>' || left(text, 200), '<think>(?s:.*?)</think>', '', 'g') AS text FROM documents WHERE doc_id % 5 <> 0)")
+def second_reading(spark, d):
+    reply = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("<think>a\nb</think>"), F.substring("text", 1, 200)))
+    return readers.second_readings(_docs(spark, d).select(F.col("doc_id").alias("page"), reply.alias("reply"))).withColumnRenamed("page", "doc_id")
+
+
+@_query(f"""SELECT k, 'at ' || lpad(CAST(CASE WHEN h = 12 THEN CASE WHEN p THEN 12 ELSE 0 END WHEN p THEN h + 12 ELSE h END AS VARCHAR), 2, '0') || ':05 or ' || CASE WHEN p THEN '12' ELSE '00' END || ':30 in ' || CAST(k % 12 + 1 AS VARCHAR) AS canon
+  FROM (SELECT k, k % 24 AS h, k % 2 = 0 AS p FROM ({P.PAIRS}))""")
+def canon_times(spark, d):
+    """Hours up to 23 with a half of the day, as the rule takes any two digits."""
+    half = F.when(F.col("k") % 2 == 0, " p.m.").otherwise(" AM")
+    month = F.get(F.array(*map(F.lit, L.EN)), (F.col("k") % 12).cast("int"))
+    text = F.concat(F.lit("at "), (F.col("k") % 24).cast("string"), F.lit(":05"), half, F.lit(" or 12:30"), half, F.lit(" in "), month)
+    return P.pairs(spark, d).select("k", T.canon_locale(text).alias("canon"))
+
+
+@_query(f"SELECT count(*) FILTER (WHERE trim(src) = trim(tgt)) AS n_echoes FROM ({P.PAIRS})")
+def echo_count(spark, d):
+    return terms.without_echoes(P.pairs(spark, d))[1]
+
+
+# Pages
+
+_TSV = f"(SELECT page, line, word_ord, conf, CASE WHEN word_ord = 0 THEN concat_ws(chr(9), 'level', 'page', 'block', 'par', 'line', 'word', 'l', 't', 'w', 'h', 'conf', 'text') WHEN word_ord % 7 = 0 THEN concat_ws(chr(9), '5', '1', '1', '1', CAST(line AS VARCHAR), CAST(word_ord AS VARCHAR), '0', '0', '9', '9', '-1', word) WHEN word_ord % 11 = 0 THEN concat_ws(chr(9), '5', '1', word) WHEN word_ord % 13 = 0 THEN concat_ws(chr(9), '5', '1', '1', '1', '0', '0', '0', '0', '9', '9', '50', ' ') ELSE concat_ws(chr(9), '5', '1', '1', '1', CAST(line AS VARCHAR), CAST(word_ord AS VARCHAR), '0', '0', '9', '9', CAST(conf AS VARCHAR), word) END AS value, word FROM OCR_TABLE)"
+
+
+@_query("SELECT page, 1 AS block, 1 AS par, line, word_ord, CAST(conf AS DOUBLE) AS conf, word FROM " + P.OCR + " WHERE word_ord <> 0 AND word_ord % 7 <> 0 AND word_ord % 11 <> 0 AND word_ord % 13 <> 0")
+def ocr_word_rows(spark, d):
+    words = P.ocr_words(_docs(spark, d))
+    lines = spark.sql("SELECT * FROM " + _TSV.replace("OCR_TABLE", "{words}").replace("VARCHAR", "STRING").replace("chr(", "char("), words=words)
+    return readers.confidence_words(lines.select("page", "value"))
+
+
+@_query("SELECT doc_id AS page, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS words, CAST(len(" + _SEQ.format(c="coalesce(text, '')") + ") AS BIGINT) AS numbers, CAST(length(text) - length(regexp_replace(text, '[čšžćđČŠŽĆĐ]', '', 'g')) AS BIGINT) AS diacritics FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' čđ Š' ELSE '' END AS text FROM documents)")
+def ocr_read_profile(spark, d):
+    pages = _docs(spark, d).select(F.col("doc_id").alias("page"), F.concat("text", F.when(F.col("doc_id") % 3 == 0, " čđ Š").otherwise("")).alias("text"))
+    return ocr.read_profile(pages, "page")
+
+
+@_query(f"SELECT page, marks * 100 // words AS pct, CASE WHEN marks * 100 // words >= 20 THEN 'STOP' WHEN marks * 100 // words >= 5 THEN 'look' ELSE 'proceed' END AS verdict FROM {_RATES_SQL} WHERE words > 0")
+def ocr_floored(spark, d):
+    return ocr.floored(_rates(spark, d), "page")
+
+
+@_query(f"SELECT page, marks, words, pct, {_VERDICT} AS verdict FROM {_RATES_SQL} ORDER BY pct DESC, page DESC LIMIT 50")
+def ocr_worst(spark, d):
+    return ocr.worst_first(_rates(spark, d), "page", 50)
+
+
+@_query(f"SELECT page, string_agg(line_text, chr(10) || chr(10) ORDER BY line) || chr(10) AS text FROM {_MARKED_SQL} GROUP BY page")
+def ocr_text(spark, d):
+    return ocr.joined_pages(ocr.lines(P.ocr_words(_docs(spark, d)), ["page", "line"]).withColumnRenamed("line_text", "text"), "page", "line")
+
+
+@_query("SELECT doc_id, CAST(block_ord AS INTEGER) AS block_ord, unit_ord, text AS unit FROM (SELECT n // 100000 AS doc_id, n % 100000 AS block_ord, seg_ord AS unit_ord, text FROM "
+        + P.SEGMENTS.replace("{docs}", "(SELECT doc_id * 100000 + block_ord AS doc_id, b AS text FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block_ord, b FROM (SELECT doc_id, i, regexp_replace(replace(x[i], chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS b FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n') AS x FROM documents))) WHERE b <> ''))").replace("SELECT doc_id, CAST(row_number()", "SELECT doc_id AS n, CAST(row_number()") + ")")
+def block_units(spark, d):
+    return readers.block_units(_docs(spark, d).select("doc_id", "text"))
+
+
+# The manifest as a whole
+
+_MERGED = f"""SELECT f.path, f.bytes, CASE WHEN p.method = 'manual' OR reused OR (p.lang IS NOT NULL AND p.lang <> f.lang) THEN p.lang ELSE f.lang END AS lang, CASE WHEN p.method = 'manual' OR reused THEN p.method ELSE f.method END AS method
+  FROM {_FRESH} f LEFT JOIN (SELECT p.*, p.bytes = f.bytes AND p.mtime = f.mtime AND p.method <> 'not-yet-examined' AS reused FROM {_PRIOR} p JOIN {_FRESH} f USING (path)) p USING (path)"""
+_FIRST = f"(SELECT path FROM {_FRESH} ORDER BY path LIMIT 100)"
+_WHOLE_SQL = f"(SELECT * FROM ({_MERGED}) WHERE path IN {_FIRST} UNION ALL SELECT f.path, f.bytes, coalesce(p.lang, 'unknown') AS lang, coalesce(p.method, 'not-yet-examined') AS method FROM {_FRESH} f LEFT JOIN {_PRIOR} p USING (path) WHERE f.path NOT IN {_FIRST})"
+
+
+@_query(f"SELECT * FROM {_WHOLE_SQL}")
+def manifest_whole(spark, d):
+    return inventory.whole_manifest(*_snapshots(spark, d), 100)
+
+
+@_query(f"SELECT 'files' AS name, count(*) AS n FROM {_WHOLE_SQL} UNION ALL SELECT 'lang ' || lang, count(*) FROM {_WHOLE_SQL} GROUP BY lang UNION ALL SELECT 'method ' || method, count(*) FROM {_WHOLE_SQL} GROUP BY method")
+def manifest_summary(spark, d):
+    return inventory.summary(manifest_whole(spark, d))
+
+
+@_query(f"SELECT f.path, coalesce(p.bytes = f.bytes AND p.mtime = f.mtime AND p.method <> 'not-yet-examined' AND p.path % 4 <> 0, false) AS reuse FROM {_FRESH} f LEFT JOIN {_PRIOR} p USING (path)")
+def manifest_reuse(spark, d):
+    fresh, prior = _snapshots(spark, d)
+    return inventory.reusable(fresh, prior.withColumn("words", F.when(F.col("path") % 4 != 0, F.col("bytes"))), True)
+
+
+_SCANNED = "(SELECT doc_id AS path, CASE WHEN doc_id % 9 = 0 THEN 'pdf-needs-ocr (3 pages)' ELSE 'text' END AS method FROM documents)"
+
+
+@_query(f"SELECT path, method FROM {_SCANNED} WHERE contains(method, 'needs-ocr') ORDER BY path LIMIT 5")
+def ocr_needed(spark, d):
+    files = spark.sql(f"SELECT * FROM {_SCANNED}".replace("FROM documents", "FROM {docs}"), docs=_docs(spark, d))
+    return inventory.needing_ocr(files)[1]
+
+
+@_query(f"SELECT count(*) AS n FROM {_SCANNED} WHERE contains(method, 'needs-ocr')")
+def ocr_needed_count(spark, d):
+    files = spark.sql(f"SELECT * FROM {_SCANNED}".replace("FROM documents", "FROM {docs}"), docs=_docs(spark, d))
+    return inventory.needing_ocr(files)[0]
+
+
+@_query("SELECT source AS project, count(*) AS sources, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS translated FROM documents GROUP BY source")
+def project_counts(spark, d):
+    files = _docs(spark, d).select(F.col("source").alias("project"), F.col("doc_id").alias("id"))
+    return inventory.project_counts(files, P.load(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+@_query("SELECT DISTINCT event_type AS page_class FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id % 1000 = 0)")
+def tally_missing(spark, d):
+    e = P.load(spark, d, "events").withColumnRenamed("event_type", "page_class")
+    return inventory.untallied(e, e.filter("event_id % 1000 = 0"))

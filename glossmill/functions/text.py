@@ -92,9 +92,13 @@ def count_of(c, signs: str) -> Column:
 
 def script(c) -> Column:
     """none, armenian, cyrillic or latin, by shares over 30 %."""
-    a, y, n = count_of(c, r"[\u0530-\u058F]"), count_of(c, r"[\u0400-\u04FF]"), count_of(c, "[A-Za-zČčŠšŽžĆćĐđ]")
-    total = a + y + n
-    return F.when(total == 0, "none").when(a / total > 0.30, "armenian").when(y / total > 0.30, "cyrillic").otherwise("latin")
+    counts = F.struct(count_of(c, r"[\u0530-\u058F]").alias("a"), count_of(c, r"[\u0400-\u04FF]").alias("y"), count_of(c, "[A-Za-zČčŠšŽžĆćĐđ]").alias("n"))
+
+    def of(s: Column) -> Column:
+        total = s["a"] + s["y"] + s["n"]
+        return F.when(total == 0, "none").when(s["a"] / total > 0.30, "armenian").when(s["y"] / total > 0.30, "cyrillic").otherwise("latin")
+
+    return let(counts, of)
 
 
 def xml_safe(c) -> Column:
@@ -115,29 +119,42 @@ def sanitise(c) -> Column:
     return F.translate(_col(c), "\t\n", "  ")
 
 
+# Clock times with a half of the day, and numbers with separators (with and without the dash).
+_HALF_DAY = r"\b(\d{1,2}):(\d{2})\s*([ap])\.?\s*m\.?"
+NUMBER, NUMBER_SEQUENCE = r"\d[\d.,:/\u2013-]*\d|\d", r"\d[\d.,:/-]*\d|\d"
+
+
+def _in_24_hours(m: Column) -> Column:
+    """12 stands for 0 before noon; any other hour counts as it is, with 12 more after noon."""
+    part = lambda i: F.regexp_extract(m, f"(?i){_HALF_DAY}", i)
+    h, late = part(1).cast("int"), F.lower(part(3)) == "p"
+    hour = F.when(h == 12, F.when(late, 12).otherwise(0)).when(late, h + 12).otherwise(h)
+    return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2))
+
+
 def canon_locale(c) -> Column:
     """Clock times in 24 hours and month names as numbers."""
     s = F.coalesce(_col(c), F.lit(""))
-    out = s
-    for h in range(13):
-        for half, to in (("a", 0 if h == 12 else h), ("p", 12 if h == 12 else h + 12)):
-            out = F.regexp_replace(out, rf"(?i)\b0?{h}:(\d\d)\s*{half}\.?\s*m\.?", f"{to:02d}:$1")
-    out = F.when(s.rlike(r"(?i)\d:\d\d\s*[ap]\.?\s*m"), out).otherwise(s)
-    low = out
-    for n, names in MONTHS.items():
-        out = F.regexp_replace(out, rf"(?iU)\b(?:{'|'.join(sorted(names.split(), key=len, reverse=True))})\b", str(n))
-    every = "|".join(sorted({x for names in MONTHS.values() for x in names.split()}, key=len, reverse=True))
-    return F.when(low.rlike(rf"(?iU)\b(?:{every})\b"), out).otherwise(low)
+    # Longer times first, since a shorter one can stand in a longer.
+    found = F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?i){_HALF_DAY}"), F.lit(0)))
+    longest = F.array_sort(F.transform(found, lambda m: F.struct((-F.length(m)).alias("k"), m.alias("m"))))
+    timed = F.aggregate(longest, s, lambda acc, x: F.replace(acc, x["m"], _in_24_hours(x["m"])))
+    timed = F.when(s.rlike(r"(?i)\d:\d\d\s*[ap]\.?\s*m"), timed).otherwise(s)
+    # A month is a whole word: the text falls into words and what stands between, and only words are looked up.
+    number = {x: str(n) for n, names in MONTHS.items() for x in names.split()}
+    table = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    word = lambda x: F.when(F.lower(x).isin(*number), F.element_at(table, F.lower(x))).otherwise(x)
+    return F.array_join(F.transform(F.split(timed, r"(?U)\b"), word), "")
 
 
 def numbers(c) -> Column:
     """Digits of the numbers in a text, without leading zeros, after canon_locale."""
-    found = F.regexp_extract_all(canon_locale(c), F.lit(r"\d[\d.,:/\u2013-]*\d|\d"), F.lit(0))
+    found = F.regexp_extract_all(canon_locale(c), F.lit(NUMBER), F.lit(0))
     return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"\D", ""), r"^0+(?=.)", ""))
 
 
 def number_sequence(c) -> Column:
-    found = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(r"\d[\d.,:/-]*\d|\d"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(NUMBER_SEQUENCE), F.lit(0))
     return F.transform(found, lambda x: F.regexp_replace(x, r"\D", ""))
 
 
@@ -168,8 +185,9 @@ def _phrases(toks: Column, stop: list[str], most: int) -> Column:
 
 
 def citations(c) -> Column:
+    """Distinct citations, ordered by their lower-case form without the sign on c, then by themselves."""
     found = F.array_distinct(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(f"(?iuU)(?:{CITATION})"), F.lit(0)))
-    return F.transform(F.array_sort(F.transform(found, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))), lambda s: s["v"])
+    return F.transform(F.array_sort(F.transform(found, lambda x: F.struct(F.translate(F.lower(x), "č", "c").alias("k"), x.alias("v")))), lambda s: s["v"])
 
 
 def without_thoughts(c) -> Column:
@@ -180,6 +198,17 @@ def without_fences(c) -> Column:
     return strip(F.regexp_replace(_col(c), r"(?m)^```[^\n]*$", ""))
 
 
+#: Names that a prompt gives to languages.
+LANGUAGES = {"sl": "Slovene", "en": "English", "de": "German"}
+
+
+def build_prompt(layers: list, src: str, tgt: str, block) -> Column:
+    """The last layer of a template that is there (kit, shared, project), with its places for the languages and the glossary filled in."""
+    template = F.coalesce(*[_col(x) for x in reversed(layers)])
+    out = F.replace(template, F.lit("{SRC}"), F.lit(LANGUAGES.get(src, src)))
+    return F.replace(F.replace(out, F.lit("{TGT}"), F.lit(LANGUAGES.get(tgt, tgt))), F.lit("{GLOSSARY}"), F.coalesce(_col(block), F.lit("")))
+
+
 def memo_key(*parts) -> Column:
     """Digest of the parts that decide a translation; a null part (an empty glossary block) is left out."""
     return F.sha2(F.concat_ws("\u0000", *[_col(p) for p in parts]), 256)

@@ -69,3 +69,42 @@ def minutes_ratio(tally: DataFrame) -> DataFrame:
     mean = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("minutes")))
     found = tally.groupBy("page_class").agg((mean("mt") / mean("scratch")).alias("ratio"))
     return found.select("page_class", "ratio", (F.col("ratio") < 1).alias("worth_it"))
+
+
+def whole_manifest(fresh: DataFrame, prior: DataFrame, limit: int) -> DataFrame:
+    """path, bytes, lang, method of every file after a run that looked at the first so many paths: what was looked at is merged, the rest stands as recorded."""
+    cut = fresh.select("path").orderBy("path").limit(limit)
+    looked = merge(fresh.join(cut, "path", "left_semi"), prior).select("path", "bytes", "lang", "method")
+    return looked.unionByName(deferred(fresh, prior, limit).join(fresh.select("path", "bytes"), "path").select("path", "bytes", "lang", "method"))
+
+
+def reusable(fresh: DataFrame, prior: DataFrame, counting: bool, rescan: bool = False) -> DataFrame:
+    """path, reuse: whether the prior row can stand: equal size and time, examined, counted if this run counts, and no scan anew. prior has words, too."""
+    old = prior.select("path", *[F.col(c).alias(f"o_{c}") for c in ("bytes", "mtime", "method", "words")])
+    same = (F.col("bytes") == F.col("o_bytes")) & (F.col("mtime") == F.col("o_mtime")) & (F.col("o_method") != "not-yet-examined")
+    counted = F.col("o_words").isNotNull() | F.lit(not counting)
+    return fresh.join(old, "path", "left").select("path", (F.coalesce(same & counted, F.lit(False)) & F.lit(not rescan)).alias("reuse"))
+
+
+def needing_ocr(manifest: DataFrame, shown: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The number of files without a text layer (n), and the first so many of them by path."""
+    found = manifest.filter(F.col("method").contains("needs-ocr"))
+    return found.agg(F.count("*").alias("n")), found.select("path", "method").orderBy("path").limit(shown)
+
+
+def summary(manifest: DataFrame) -> DataFrame:
+    """name, n: files, by language and by method. Counts alone, so that it can leave the place where the files are."""
+    total = manifest.agg(F.lit("files").alias("name"), F.count("*").alias("n"))
+    by = lambda c: manifest.groupBy(F.concat(F.lit(f"{c} "), F.col(c)).alias("name")).agg(F.count("*").alias("n"))
+    return total.unionByName(by("lang")).unionByName(by("method"))
+
+
+def project_counts(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """project, sources, translated: files and those with a target, of each project. files: project, id; targets: id."""
+    done = files.join(targets.select("id").distinct().withColumn("done", F.lit(True)), "id", "left")
+    return done.groupBy("project").agg(F.count("*").alias("sources"), F.count_if(F.coalesce("done", F.lit(False))).alias("translated"))
+
+
+def untallied(classes: DataFrame, tally: DataFrame) -> DataFrame:
+    """page_class of the template that no row of the tally has."""
+    return classes.select("page_class").distinct().join(tally.select("page_class"), "page_class", "left_anti")

@@ -33,9 +33,39 @@ def rates(texts: DataFrame, key: str) -> DataFrame:
 
 
 def profile(words: DataFrame, page: str) -> DataFrame:
-    """Words, those under 40 and 40 to 60, low ones with a digit, of each page."""
+    """Words, those under 40 and 40 to 60, low ones with a digit, and the share under 40 in per cent, of each page."""
     low = F.col("conf") < FLOOR
-    return words.groupBy(page).agg(F.count("*").alias("words"), F.count_if(low).alias("low"), F.count_if(F.col("conf").between(FLOOR, 59)).alias("middling"), F.count_if(low & F.col("word").rlike(r"\d")).alias("low_digits"))
+    found = words.groupBy(page).agg(F.count("*").alias("words"), F.count_if(low).alias("low"), F.count_if((F.col("conf") >= FLOOR) & (F.col("conf") < 60)).alias("middling"), F.count_if(low & F.col("word").rlike(r"\d")).alias("low_digits"))
+    return found.withColumn("pct", 100.0 * F.col("low") / F.col("words"))
+
+
+#: Fixed value: the letters that a reading of a page in these languages should hold.
+DIACRITICS = "čšžćđČŠŽĆĐ"
+
+
+def read_profile(pages: DataFrame, page: str) -> DataFrame:
+    """Words, distinct numbers and letters with diacritics of each page's reading. pages: page, text."""
+    numbers = F.array_distinct(T.number_sequence("text"))
+    return pages.select(page, F.size(T.words("text")).cast("long").alias("words"), F.size(numbers).cast("long").alias("numbers"), T.count_of("text", f"[{DIACRITICS}]").alias("diacritics"))
+
+
+def floored(rates_: DataFrame, key: str) -> DataFrame:
+    """key, pct, verdict by whole per cent, rounded down, of pages with words. rates_: key, marks, words."""
+    pct = F.floor(F.col("marks") * 100 / F.col("words")).cast("long")
+    verdict = F.when(pct >= 20, "STOP").when(pct >= 5, "look").otherwise("proceed")
+    return rates_.filter("words > 0").select(key, pct.alias("pct"), verdict.alias("verdict"))
+
+
+def worst_first(rates_: DataFrame, key: str, top: int | None = None) -> DataFrame:
+    """The pages by falling rate, ties by falling key; the first so many, if a number is given."""
+    ordered = rates_.orderBy(F.desc("pct"), F.desc(key))
+    return ordered if top is None else ordered.limit(top)
+
+
+def joined_pages(pages: DataFrame, doc: str, page: str) -> DataFrame:
+    """doc, text: the pages in order, with a blank line between, and a newline at the end. pages: doc, page, text."""
+    rows = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(page, "text"))).alias("ps"))
+    return rows.select(doc, F.concat(F.array_join(F.transform("ps", lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("text"))
 
 
 def agreement(pages: DataFrame, key: str) -> DataFrame:

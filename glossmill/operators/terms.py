@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,10 +23,12 @@ def candidates(pairs: DataFrame, known: list[str] = (), least: int = 3, pin_all:
     sizes = sizes.filter((F.col("n") >= least) & ~F.col("term").isin(*[k.lower() for k in known]) if known else F.col("n") >= least)
     spread = told.select(F.explode(T.phrases("tgt", T.TARGET_STOP)).alias("rendering")).groupBy("rendering").agg(F.count("*").alias("df"))
     counted = cooccurrence(pairs).withColumnRenamed("n", "c").join(sizes, "term").join(spread, "rendering")
-    ranked = counted.groupBy("term", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("k"), "rendering", "df"))).alias("r"))
-    first = F.col("r")[0]
-    rivals = F.filter("r", lambda x: ~first["rendering"].contains(x["rendering"]) & ~x["rendering"].contains(first["rendering"]))
-    out = ranked.select("term", "n", first["rendering"].alias("r1"), (-first["k"]).alias("c1"), first["df"].alias("df1"), F.get(rivals, F.lit(0)).alias("o"))
+    # The leader, then the best that is no part of it, as two smallest values: no list of renderings is ever built.
+    ranked = counted.withColumn("x", F.struct((-F.col("c")).alias("k"), "rendering", "df"))
+    ranked = ranked.withColumn("first", F.min("x").over(Window.partitionBy("term")))
+    apart = ~F.col("first.rendering").contains(F.col("rendering")) & ~F.col("rendering").contains(F.col("first.rendering"))
+    out = ranked.groupBy("term", "n", "first").agg(F.min(F.when(apart, F.col("x"))).alias("o"))
+    out = out.select("term", "n", F.col("first.rendering").alias("r1"), (-F.col("first.k")).alias("c1"), F.col("first.df").alias("df1"), "o")
     out = out.withColumn("c2", -F.col("o.k")).withColumn("r2", F.col("o.rendering"))
     n, c1, c2 = F.col("n"), F.col("c1"), F.col("c2")
     lift2, lift1 = (c2 / n) / F.greatest(F.col("o.df") / total, F.lit(1e-9)), (c1 / n) / F.greatest(F.col("df1") / total, F.lit(1e-9))
@@ -38,10 +40,19 @@ def candidates(pairs: DataFrame, known: list[str] = (), least: int = 3, pin_all:
 
 
 def shortest(found: DataFrame, top: int) -> DataFrame:
-    """Of terms with one rendering, those that hold no term kept before (by segments, then name); then the first so many."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("segments")).alias("k"), "source", "conflict", "also_seen", "also_count")))
-    groups = found.groupBy("rendering").agg(order.alias("xs"))
-    first = F.col("xs")[0]
-    kept = F.aggregate(F.slice("xs", 2, 1 << 30), F.array(first), lambda acc, x: F.when(F.exists(acc, lambda k: x["source"].contains(k["source"])), acc).otherwise(F.concat(acc, F.array(x))))
-    rows = groups.select("rendering", F.explode(kept).alias("x"))
-    return rows.select("x.source", "rendering", (-F.col("x.k")).alias("segments"), "x.conflict", "x.also_seen", "x.also_count").orderBy(F.desc("segments"), "source").limit(top)
+    """Of terms with one rendering, those that hold no term before them (by segments, then name); then the first so many.
+
+    A term that holds one that was itself left out also holds the one that that holds, so that looking at all terms before it is enough. A
+    term is a few words: all its parts are listed and looked up, and the terms of a rendering are never gathered.
+    """
+    parts = F.expr("array_distinct(flatten(transform(sequence(1, length(source)), i -> transform(sequence(1, length(source) - i + 1), n -> substring(source, i, n)))))")
+    inside = found.select("rendering", F.col("source").alias("part"), F.col("segments").alias("part_segments"))
+    held = found.select("source", "rendering", "segments", F.explode(parts).alias("part")).join(inside, ["rendering", "part"])
+    before = (F.col("part_segments") > F.col("segments")) | ((F.col("part_segments") == F.col("segments")) & (F.col("part") < F.col("source")))
+    return found.join(held.filter(before).select("source", "rendering").distinct(), ["source", "rendering"], "left_anti").orderBy(F.desc("segments"), "source", "rendering").limit(top)
+
+
+def without_echoes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose sides differ, and the number of the others (n_echoes)."""
+    echo = T.strip("src") == T.strip("tgt")
+    return pairs.filter(~echo), pairs.agg(F.count_if(echo).alias("n_echoes"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import office
 
 READABLE = [".txt", ".md", ".csv", ".tsv", ".log"]
 
@@ -25,21 +26,69 @@ def texts(spark: SparkSession, root: str) -> DataFrame:
     return found.select("path", F.when(known, F.decode("content", "UTF-8")).alias("text"), F.when(known, "text").otherwise("no-extractor").alias("method"))
 
 
+def extracted(spark: SparkSession, root: str) -> DataFrame:
+    """path, text, method of every file below root, each by the reader of its extension; a file that can't be read has no text and the method error: <Type>.
+
+    text for text files, docx and xlsx for office files, no-extractor for all others."""
+    found = files(spark, root).select("path", "ext")
+    read = texts(spark, root).filter("method = 'text'").select("path", "text", "method")
+    read = read.unionByName(office.texts(office.office_files(spark, root, ".docx", ".xlsx", ".xlsm")).select("path", "text", "method"))
+    return found.join(read, "path", "left").select("path", "text", F.coalesce("method", F.lit("no-extractor")).alias("method"))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """doc_id, block_ord, block: parts between blank lines, on one line each."""
     cut = F.transform(F.split("text", r"\n\s*\n"), lambda b: T.strip(F.translate(b, "\n", " ")))
     return docs.select("doc_id", F.posexplode(F.filter(cut, lambda b: b != "")).alias("block_ord", "block"))
 
 
-def word_list(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Words of a dictionary file: the count in the first line and the flags after a slash or tab are left out."""
-    raw = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", schema="line string")
+def block_units(docs: DataFrame) -> DataFrame:
+    """doc_id, block_ord, unit_ord, unit: the segments of each block; a block without any is a unit itself."""
+    found = T.segment("block")
+    return blocks(docs).select("doc_id", "block_ord", F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array("block"))).alias("unit_ord", "unit"))
+
+
+def word_list(spark: SparkSession, path: str, encoding: str = "UTF-8", fallback: str = "ISO-8859-2") -> DataFrame:
+    """Words of a dictionary file: line 1, which counts them, and the flags after a slash or tab are left out. A file that isn't valid in
+    the encoding UTF-8 is read in the fallback."""
+    content = F.col("content")
+    text = F.decode(content, encoding) if encoding != "UTF-8" else F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, fallback))
+    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(text, "\r?\n")).alias("n", "line")).filter("n > 0")
     word = F.lower(T.strip(F.regexp_extract("line", "^([^/\t]*)", 1)))
-    return raw.filter(~F.col("line").rlike(r"^\s*\d+\s*$")).select(word.alias("word")).filter("word <> ''").distinct()
+    return lines.select(word.alias("word")).filter("word <> ''").distinct()
 
 
 def tab_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", quote="", comment="#", schema=schema)
+    """Columns of a tab-separated file, stripped; each line is cut at its first hash sign, and lines without all columns are left out."""
+    names = [x.split()[0] for x in schema.split(",")]
+    cells = F.split(F.regexp_extract("value", "^([^#]*)", 1), "\t")
+    rows = spark.read.text(path).select(cells.alias("c")).filter(F.size("c") >= len(names))
+    kinds = [x.split()[1] for x in schema.split(",")]
+    return rows.select(*[T.strip(F.get("c", F.lit(i))).cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))]).filter(F.col(names[0]).isNotNull() & (F.col(names[0]).cast("string") != ""))
+
+
+def confidence_words(lines: DataFrame, page: str = "page") -> DataFrame:
+    """page, block, par, line, word_ord, conf, word of the rows of a word-confidence table. lines: page, value (tab-separated); rows with fewer than 12
+    columns, a blank word, no confidence or the header are left out."""
+    c = F.split("value", "\t", -1)
+    at = lambda i: F.get("c", F.lit(i))
+    found = lines.select(page, c.alias("c")).filter((F.size("c") >= 12) & (T.strip(at(11)) != "") & ~at(10).isin("-1", "conf") & at(10).try_cast("double").isNotNull())
+    return found.select(page, *[at(i).try_cast("int").alias(n) for i, n in ((2, "block"), (3, "par"), (4, "line"), (5, "word_ord"))], at(10).try_cast("double").alias("conf"), at(11).alias("word"))
+
+
+def word_confidences(spark: SparkSession, root: str) -> DataFrame:
+    """confidence_words of the .tsv files below root; the page is the file's path."""
+    return confidence_words(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tsv").text(root).select(F.input_file_name().alias("page"), "value"))
+
+
+def second_readings(pages: DataFrame) -> DataFrame:
+    """page, text of a second engine, without its thoughts; a page without a reply (null) is skipped. pages: page, reply."""
+    return pages.filter("reply IS NOT NULL").select("page", T.without_thoughts("reply").alias("text"))
+
+
+def unmarked(pages: DataFrame) -> DataFrame:
+    """page, text, has_confidence: plain text layers, for pages that no word confidences are known of. pages: page, text."""
+    return pages.select("page", "text", F.lit(False).alias("has_confidence"))
 
 
 def patterns(spark: SparkSession, path: str) -> DataFrame:

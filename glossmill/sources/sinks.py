@@ -18,7 +18,8 @@ def manifest(df: DataFrame, path: str) -> None:
 
 
 def by_language(df: DataFrame, path: str) -> None:
-    df.select("lang", "path").repartition("lang").sortWithinPartitions("path").write.mode("overwrite").partitionBy("lang").text(path)
+    """Paths in order, in a folder for each language; a language of many paths has several files, also in order."""
+    df.select("lang", "path").repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").write.mode("overwrite").partitionBy("lang").text(path)
 
 
 def bilingual(pairs: DataFrame) -> DataFrame:
@@ -30,3 +31,13 @@ def bilingual(pairs: DataFrame) -> DataFrame:
 def additions(df: DataFrame, path: str) -> None:
     """Append proposed terms, marked as unreviewed."""
     table(df.select("source", F.col("rendering").alias("target"), F.lit("unreviewed").alias("note")), path, "append")
+
+
+def counts_only(df: DataFrame, path: str) -> None:
+    """Lines of name and number, without any path or text of a file. df: name, n."""
+    df.select(F.format_string("  %-20s %,9d", "name", "n").alias("line")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_pages(df: DataFrame, path: str) -> None:
+    """The text of each document, its pages with a blank line between, in a folder for each. df: doc_id, text."""
+    df.select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").text(path, lineSep="\n")

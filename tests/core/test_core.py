@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from glossmill import catalog
 from glossmill.functions import locale as L
 from glossmill.functions import text as T
-from glossmill.operators import language, memo, ocr, status
+from glossmill.operators import language, memo, mentions, ocr, status
 from glossmill.sources import readers, sinks
 from glossmill.streaming import ingest
 
@@ -111,9 +112,100 @@ def test_translation_falls_back_and_keeps_failures_apart(spark):
             raise OSError
         return text.upper()
 
-    rows = memo.translate(spark.createDataFrame([("1", "one"), ("2", "bad"), ("3", "x" * 300)], "key string, text string").coalesce(1), client).collect()
+    rows = memo.translate(spark.createDataFrame([("1", "one"), ("2", "bad"), ("3", "x" * 300)], "key string, text string").coalesce(1), client, wait=0.0).collect()
     assert [(r.translation, r.stored) for r in rows] == [("ONE", True), (memo.FAILED + "bad", False), ("X" * 300, True)]
 
+    def breaking(text):
+        if "\n" in text:
+            raise OSError("a batch")
+        if text == "worse":
+            raise ValueError("no client error")
+        return text.upper()
+
+    texts = ["one", None, "two", "worse", "3. numbered", "", "line\nbreak"]
+    rows = memo.translate(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string").coalesce(1), breaking, wait=0.0).collect()
+    assert [(r.translation, r.stored) for r in rows] == [("ONE", True), (None, False), ("TWO", True), (memo.FAILED + "worse", False), ("3. NUMBERED", True), (memo.FAILED, False), (memo.FAILED + "line\nbreak", False)]
+    asked = spark.createDataFrame([("1", "a", "S"), ("2", "b", "S"), ("3", "c", "T")], "key string, text string, system string").coalesce(1)
+    rows = memo.translate(asked, lambda system, text: "\n".join(f"{line}{system}" for line in text.split("\n")), wait=0.0).collect()
+    assert [r.translation for r in rows] == ["aS", "bS", "cT"]
+
+
+def test_citations_match_the_pattern_on_random_texts(spark):
+    """Against Python's own engine, on texts of whole and broken citations."""
+    rng = random.Random(7)
+    parts = ["čl.", "člen", "členov", "odst.", "Ustave", "KZ-1", "KZ", "kz-12a", "ZPP", "ZPPX", "xZPP", "Uradni  list", "Ur. l.", "Ur.l.", "EKČP", "točka", " ", ", ", "-", "a", "\n", "5."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").select("c", T.citations("c").alias("x")).collect()
+    fold = lambda x: (x.lower().replace("č", "c"), x)
+    assert [r.x for r in rows] == [sorted({m[0] for m in re.finditer(T.CITATION, t, re.I)}, key=fold) for t in texts]
+
+
+def test_first_mentions_match_brute_force_on_random_documents(spark):
+    rng = random.Random(9)
+    forms = [("AA b", "Court of One"), ("CC d", "Court of One in Two"), ("EE", "Ministry")]
+    pick = ["Court of One", "Court of One in Two", "Ministry", "AA b (Court of One)", "Ministry (", "x", "then"]
+    docs = {d: [" ".join(rng.choice(pick) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 6))] for d in range(200)}
+
+    def slow(segments):
+        seen, out = set(), []
+        for text in segments:
+            here = {t for _, t in forms if t in text} - seen
+            seen |= here
+            for s, t in sorted(forms, key=lambda f: -len(f[1])):
+                at = text.find(t)
+                if t in here and at >= 0 and s not in text[max(0, at - len(s) - 5) : at] and not text[at : at + len(t) + 2].endswith("("):
+                    text = f"{text[:at]}{s} ({t}){text[at + len(t):]}"
+            out.append(text)
+        return out
+
+    rows = spark.createDataFrame([(d, i, t) for d, segments in docs.items() for i, t in enumerate(segments)], "doc_id long, seg_ord int, text string")
+    found = {(r.doc_id, r.seg_ord): r.text for r in mentions.first_mentions(rows, forms).collect()}
+    assert found == {(d, i): t for d, segments in docs.items() for i, t in enumerate(slow(segments))}
+
+
+def test_months_and_times_match_brute_force(spark):
+    rng = random.Random(13)
+    parts = ["12:30 p.m.", "2:30 pm", "02:05 AM", "13:15 a. m.", "99:59 p.m", "12:00am", "March", "marec", "mar", "Märchen", "märz", "May5", "maja", " ", " ", ", ", "1", "x", "x_mar", "-jan-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(600)]
+    number = {x: str(n) for n, names in T.MONTHS.items() for x in names.split()}
+
+    def to24(m):
+        h, late = int(m[1]), m[3].lower() == "p"
+        return f"{(12 if late else 0) if h == 12 else h + 12 * late:02d}:{m[2]}"
+
+    def slow(t):
+        t = re.sub(r"\b(\d{1,2}):(\d{2})\s*([ap])\.?\s*m\.?", to24, t, flags=re.I)
+        return re.sub(r"\b(" + "|".join(sorted(number, key=len, reverse=True)) + r")\b", lambda m: number[m[1].lower()], t, flags=re.I)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").select("c", T.canon_locale("c").alias("x")).collect()
+    assert [(t, r.x) for t, r in zip(texts, rows, strict=True)] == [(t, slow(t)) for t in texts]
+
+
+def test_similarity_has_the_known_values(spark):
+    pages = spark.createDataFrame([(1, "abcd", "bcde"), (2, None, ""), (3, "A  b", "a b"), (4, "x", "y")], "page long, one string, two string")
+    assert {r.page: r.ratio for r in ocr.similarity(pages, "page").collect()} == {1: 0.75, 2: 1.0, 3: 1.0, 4: 0.0}
+
+
+def test_all_readers_give_one_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("text", encoding="utf-8")
+    (tmp_path / "in" / "b.docx").write_bytes(b"not a zip")
+    (tmp_path / "in" / "c.exe").write_bytes(b"x")
+    found = {r.path.rpartition("/")[2]: (r.text, r.method) for r in readers.extracted(spark, str(tmp_path / "in")).collect()}
+    assert found == {"a.txt": ("text", "text"), "b.docx": (None, "error: BadZipFile"), "c.exe": (None, "no-extractor")}
+    (tmp_path / "i.tsv").write_text("Okrožno\tDistrict\tsl-en\t# note\n# all\nA\tB # cut\nOkrajno \t Local\tsl-en # x\n", encoding="utf-8")
+    rows = readers.tab_table(spark, str(tmp_path / "i.tsv"), "source string, target string, pair string").collect()
+    assert sorted(map(tuple, rows)) == [("Okrajno", "Local", "sl-en"), ("Okrožno", "District", "sl-en")]
+    (tmp_path / "w.dic").write_bytes("3\n1984/A\nžaba\n".encode("iso-8859-2"))
+    assert {r.word for r in readers.word_list(spark, str(tmp_path / "w.dic")).collect()} == {"1984", "žaba"}
+    (tmp_path / "tsv").mkdir()
+    row = "5\t1\t2\t3\t4\t6\t0\t0\t9\t9\t{}\t{}"
+    (tmp_path / "tsv" / "p.tsv").write_text("\n".join(["\t".join(["level"] * 10 + ["conf", "text"]), row.format(91, "word"), row.format(-1, "no"), row.format(50, " "), "5\tshort"]))
+    assert [(r.block, r.par, r.line, r.word_ord, r.conf, r.word) for r in readers.word_confidences(spark, str(tmp_path / "tsv")).collect()] == [(2, 3, 4, 6, 91.0, "word")]
+    pages = spark.createDataFrame([(1, "<think>a\nb</think>x"), (2, None)], "page long, reply string")
+    assert [tuple(r) for r in readers.second_readings(pages).collect()] == [(1, "x")]
+    assert not readers.unmarked(pages.withColumnRenamed("reply", "text")).filter("has_confidence").count()
+
 
 def test_readers_and_sinks(spark, tmp_path):
     root = tmp_path / "in"
@@ -133,6 +225,13 @@ def test_readers_and_sinks(spark, tmp_path):
     assert {x for p in (tmp_path / "out").glob("*.csv") for x in p.read_text().splitlines()} == {"s\tn", "a b\t1"}
     sinks.by_language(spark.createDataFrame([("en", "p1"), ("sl", "p2")], "lang string, path string"), str(tmp_path / "by"))
     assert {p.name for p in (tmp_path / "by").glob("lang=*")} == {"lang=en", "lang=sl"}
+    sinks.counts_only(spark.createDataFrame([("files", 1200)], "name string, n long"), str(tmp_path / "sums"))
+    assert [x for p in (tmp_path / "sums").glob("*.txt") for x in p.read_text().splitlines()] == [f"  {'files':<20} {'1,200':>9}"]
+    sinks.manifest(spark.createDataFrame([("b", 0.5), ("a", 0.123)], "path string, confidence double"), str(tmp_path / "m"))
+    assert [x for p in sorted((tmp_path / "m").glob("*.csv")) for x in p.read_text().splitlines() if x != "path\tconfidence"] == ["a\t0.12", "b\t0.50"]
+    for _ in range(2):
+        sinks.additions(spark.createDataFrame([("s", "t")], "source string, rendering string"), str(tmp_path / "more"))
+    assert [x for p in (tmp_path / "more").glob("*.csv") for x in p.read_text().splitlines() if x != "source\ttarget\tnote"] == ["s\tt\tunreviewed"] * 2
 
 
 def test_stream_upserts_keep_the_newest(spark, tmp_path):
