@@ -5,7 +5,7 @@ it. A place whose hash is the smallest of some GAP places in a row is a cut. Cut
 them but changes only the chunks that it touches, and of any GAP places in a row one is a cut: a passage that stands in two texts has
 its inner cuts at the same places in both. A chunk begins at every cut and runs to the first cut CHUNK bytes or more behind it, so that chunks
 overlap or touch and none is so short that it stands elsewhere by chance; equal chunks are found by digest. In each text, runs of consecutive chunks that occur elsewhere too are joined, and runs of
-LEAST bytes or more are repeats; of each chunk in them the first occurrence (by doc_id, then row, then place) stays and the others
+LEAST bytes or more are repeats; of each chunk in them the first occurrence (by row in the order in which the scan deals out the files, then place) stays and the others
 can go. A repeated passage of SURE bytes or more is always found, whatever its words are; none of fewer than LEAST bytes is reported.
 
 Only digests, row numbers and offsets are shuffled, never texts. Chunks are counted by digest with partial aggregation; only those that
@@ -32,7 +32,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import hot_keys, materialize, prepare, table, with_row_id
 
 #: Bytes that the hash depends on, the most places from cut to cut, the period up to which equal places are one, the least bytes of a chunk and of a repeat.
-WIDTH, GAP, EVEN, CHUNK, LEAST = 16, 32, 8, 24, 64
+WIDTH, GAP, EVEN, CHUNK, LEAST = 16, 48, 8, 24, 64
 #: From this length on every repeat is found: the first cut in it lies within WIDTH - 1 + GAP bytes, its last cut within GAP of its end, and the end of the last chunk within GAP of that.
 SURE = LEAST + WIDTH - 1 + 3 * GAP
 #: Bytes of a text that are hashed at once, and rows of a batch.
@@ -42,11 +42,12 @@ _NONE = np.uint32(0xFFFFFFFF)
 
 
 def _slide(values: np.ndarray, size: int, take) -> np.ndarray:
-    """take (minimum or maximum) over every run of size values; size is a power of two."""
+    """take (minimum or maximum) over every run of size values."""
     width = 1
     while width < size:
-        values = take(values[:-width], values[width:])
-        width *= 2
+        step = min(width, size - width)
+        values = take(values[:-step], values[step:])
+        width += step
     return values
 
 
@@ -96,34 +97,40 @@ def chunks(data: bytes, gap: int = GAP) -> tuple[np.ndarray, np.ndarray, np.ndar
     return starts, ends, np.frombuffer(found, ">i8").astype(np.int64)
 
 
+_CHUNKS = "n long, digest long, start int, end int, doc_id long, row struct<f:long,i:long>"
+
+
 def chunk_table(docs: DataFrame, gap: int = GAP) -> DataFrame:
-    """doc_id, row, digest, start, end of each chunk; docs carry gm_row."""
+    """n (a number of the row), digest, start, end of each chunk, and for each row with chunks a line with n, doc_id and row alone; docs carry gm_row."""
     prepare(docs.sparkSession)
-    names = ["doc_id", "row", "digest", "start", "end"]
+    names = ["n", "digest", "start", "end", "doc_id", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, n = [], 0
+            held, size, row_type = [], 0, batch.column(2).type
 
-            def flush(batch=batch) -> Iterator[pa.RecordBatch]:
+            def flush(batch=batch, row_type=row_type) -> Iterator[pa.RecordBatch]:
+                rows = pa.array([i for i, _ in held], pa.int64())
                 at = pa.array(np.repeat([i for i, _ in held], [len(p[0]) for _, p in held]).astype(np.int64))
                 start, end, digest = (np.concatenate([p[i] for _, p in held]) for i in range(3))
+                none = lambda n, t: pa.nulls(n, t)
+                yield pa.record_batch([batch.column(0).take(rows), none(len(rows), pa.int64()), none(len(rows), pa.int32()), none(len(rows), pa.int32()), batch.column(1).take(rows), batch.column(2).take(rows)], names)
                 for a in range(0, len(start), ROWS):
                     part = slice(a, a + ROWS)
-                    here = at[a : a + ROWS]
-                    yield pa.record_batch([batch.column(0).take(here), batch.column(1).take(here), pa.array(digest[part]), pa.array(start[part].astype(np.int32)), pa.array(end[part].astype(np.int32))], names)
+                    here = batch.column(0).take(at[a : a + ROWS])
+                    yield pa.record_batch([here, pa.array(digest[part]), pa.array(start[part].astype(np.int32)), pa.array(end[part].astype(np.int32)), none(len(here), pa.int64()), none(len(here), row_type)], names)
 
-            for i, value in enumerate(batch.column(2)):
+            for i, value in enumerate(batch.column(3)):
                 held.append((i, chunks(value.as_py() or b"", gap)))
-                n += len(held[-1][1][0])
-                if n >= ROWS:
+                size += len(held[-1][1][0])
+                if size >= ROWS:
                     yield from flush()
-                    held, n = [], 0
-            if n:
+                    held, size = [], 0
+            if size:
                 yield from flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("gm_row").alias("row"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row struct<f:long,i:long>, digest long, start int, end int")
+    rows = docs.select(F.monotonically_increasing_id().alias("n"), F.col("doc_id").cast("long"), F.col("gm_row").alias("row"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, _CHUNKS)
 
 
 def repeated_spans(docs: DataFrame, gap: int = GAP, least: int = LEAST) -> DataFrame:
@@ -131,21 +138,25 @@ def repeated_spans(docs: DataFrame, gap: int = GAP, least: int = LEAST) -> DataF
 
     docs with a column gm_row keep it as row; others get row numbers here."""
     docs = docs if "gm_row" in docs.columns else with_row_id(docs)
-    pieces = materialize(chunk_table(docs, gap), "cdc-chunks")
-    several = materialize(pieces.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "cdc-digests")
-    hot = materialize(hot_keys(several, "digest").select("digest"), "cdc-hot")
+    written = materialize(chunk_table(docs, gap), "cdc-chunks")
+    # Three numbers a chunk are all that is shuffled: digest, row, and both offsets in one.
+    both = (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("span")
+    pieces = written.filter("digest IS NOT NULL").select("digest", "n", both)
+    several = materialize(pieces.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1"), "cdc-digests")
+    hot = materialize(hot_keys(several, "digest", "times").select("digest"), "cdc-hot")
     # Where a chunk stands first: a hot digest's place by partial aggregation, the others' within the partitions of the join.
-    here = F.struct("doc_id", "row", "start")
+    here = F.struct("n", "span")
     hot_first = materialize(pieces.join(F.broadcast(hot), "digest").groupBy("digest").agg(F.min(here).alias("origin")), "cdc-hot-first")
-    often = pieces.join(F.broadcast(hot_first), "digest").withColumn("first", here.eqNullSafe(F.col("origin"))).drop("origin")
+    often = pieces.join(F.broadcast(hot_first), "digest").withColumn("first", here == F.col("origin")).drop("origin")
     rest = pieces.join(F.broadcast(hot), "digest", "left_anti").join(several.select("digest").hint("merge"), "digest", "left_semi")
-    rest = rest.withColumn("first", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id", "row", "start")) == 1)
-    twice = often.unionByName(rest)
+    rest = rest.withColumn("first", F.row_number().over(Window.partitionBy("digest").orderBy("n", "span")) == 1)
+    twice = often.unionByName(rest).select("n", "digest", "first", F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"))
     # Chunks of a run overlap or touch: each begins no later than the one before it ends.
-    order = Window.partitionBy("row").orderBy("start")
+    order = Window.partitionBy("n").orderBy("start")
     runs = twice.withColumn("new", F.when(F.col("start") <= F.lag("end").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    joined = runs.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("digest", "start").alias("digest"), F.bool_and("first").alias("first"), F.collect_list(F.when(~F.col("first"), F.struct("start", "end"))).alias("later"))
-    return joined.filter(F.col("end") - F.col("start") >= least).select("doc_id", "row", "start", "end", "digest", "first", "later")
+    joined = runs.groupBy("n", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("digest", "start").alias("digest"), F.bool_and("first").alias("first"), F.collect_list(F.when(~F.col("first"), F.struct("start", "end"))).alias("later"))
+    named = written.filter("digest IS NULL").select("n", "doc_id", "row")
+    return joined.filter(F.col("end") - F.col("start") >= least).join(named, "n").select("doc_id", "row", "start", "end", "digest", "first", "later")
 
 
 def remove_repeats(docs: DataFrame, gap: int = GAP, least: int = LEAST) -> DataFrame:
