@@ -5,6 +5,9 @@ benchmark, which are the only ones that a test suffix can match. Every suffix of
 in it; the neighbours of its place give the longest verbatim match and its location. Windows whose match is long
 enough give a range of the array, and these ranges mark the words that are hit.
 
+The benchmark is written once to the shared folder in blocks of a bounded size; every shard is searched with one block after another, so that
+neither the driver nor a task ever holds more than one block and the few that it keeps.
+
 Defined cases: null and empty texts have no words; an item without words has no window; a null item_id counts as the
 empty string; repeated items count once by id, repeated documents are each returned; an empty benchmark or document
 table gives zero hits or no rows; other columns are ignored or, in remove_contaminated, kept.
@@ -13,20 +16,20 @@ table gives zero hits or no rows; other columns are ignored or, in remove_contam
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import commit_name, fresh_path, open_store, prepare, table
 
 WINDOW = 10
-#: Words in a shard, and bytes of benchmark text searched in one pass.
-SHARD_WORDS, BLOCK_BYTES = 1_000_000, 32_000_000
+#: Words in a shard, bytes of benchmark text in a block, and blocks that a process keeps from shard to shard.
+SHARD_WORDS, BLOCK_BYTES, KEPT = 1_000_000, 4_000_000, 4
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -171,50 +174,96 @@ class Shard:
         return hit, np.unique(np.stack([np.repeat(pairs[:, 0], m), b.owners[flat]], 1), axis=0)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[tuple[list, Shard]]:
+def _shard_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """Ids and words of the documents of each shard."""
     keys, docs, size = [], [], 0
     for batch in batches:
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            docs.append(words_of(data))
-            keys.append((key, xxhash.xxh64_intdigest(data or b"") >> 1))
+        for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs.append(words_of(value.as_py()))
+            keys.append(key)
             size += len(docs[-1])
             if size >= SHARD_WORDS:
-                yield keys, Shard(docs, bench)
+                yield keys, docs
                 keys, docs, size = [], [], 0
     if docs:
-        yield keys, Shard(docs, bench)
+        yield keys, docs
+
+
+class Blocks:
+    """The benchmark in the shared folder: read by the tasks, block by block."""
+
+    def __init__(self, folder: str, names: list[str]):
+        self.folder, self.names = folder, names
+
+    def __iter__(self) -> Iterator[Benchmark]:
+        for name in self.names:
+            if name not in _kept:
+                store, root = open_store(self.folder)
+                with store.open_input_file(f"{root}/{name}") as f:
+                    block = pickle.loads(f.read())  # written by write_benchmark, below
+                while len(_kept) >= KEPT:
+                    _kept.pop(next(iter(_kept)))
+                _kept[name] = block
+            yield _kept[name]
+
+
+_kept: dict[str, Benchmark] = {}
+
+
+def write_benchmark(bench: DataFrame, window: int) -> Blocks:
+    """Write the benchmark in blocks; all rows of an item go to one of them. The driver gets the files' names alone."""
+    spark = bench.sparkSession
+    prepare(spark)
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("data")).filter(F.octet_length("data") > 0)
+    total = items.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0  # one number
+    n, folder = int(total // BLOCK_BYTES) + 1, fresh_path(spark, "benchmark")
+    store, path = open_store(folder)
+    store.create_dir(path, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        number, held = None, []
+
+        def put() -> Iterator[pa.RecordBatch]:
+            if held:
+                name = f"{number:08d}-{commit_name()}.block"
+                with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(pickle.dumps(Benchmark(sorted(held), window), protocol=5))
+                yield pa.record_batch([pa.array([name])], ["name"])
 
+        for batch in batches:
+            for block, item, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if block != number:
+                    yield from put()
+                    number, held = block, []
+                held.append((item, data))
+        yield from put()
 
-def _blocks(bench: DataFrame, window: int) -> list[Benchmark]:
-    """The benchmark in blocks of a bounded size; items are fetched block by block, never more than one block at once."""
-    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("data"))
-    total = items.agg(F.sum(F.coalesce(F.octet_length("data"), F.lit(0)))).first()[0] or 0
-    n = int(total // BLOCK_BYTES) + 1
-    picked = (items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect() if n > 1 else items.collect() for i in range(n))
-    return [Benchmark(sorted((r.item, r.data) for r in rows if r.data), window) for rows in picked]
+    dealt = items.select(F.pmod(F.xxhash64("item"), F.lit(n)).alias("block"), "item", "data")
+    files = dealt.repartition(min(n, 256), "block").sortWithinPartitions("block").mapInArrow(write, "name string")
+    return Blocks(folder, sorted(r.name for r in files.collect()))  # one name for each BLOCK_BYTES of the benchmark
 
 
 def longest_matches(docs: DataFrame, bench: DataFrame, least: int = WINDOW) -> DataFrame:
     """item_id, item_word, doc_id, doc_word, words: of each test suffix and shard, the longest verbatim match of least words or more."""
     prepare(docs.sparkSession)
-    out = None
-    for block in _blocks(bench, least):
+    blocks = write_benchmark(bench, least)
 
-        def run(batches: Iterator[pa.RecordBatch], b=block) -> Iterator[pa.RecordBatch]:
-            begin = np.array([p for _, p, _ in b.item_of], np.int64)
-            for keys, shard in _shards(batches, b):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in _shard_texts(batches):
+            for b in blocks:
+                begin = np.array([p for _, p, _ in b.item_of], np.int64)
+                shard = Shard(texts, b)
                 size, place = shard.longest()
                 at = np.flatnonzero(size >= least)
                 item = np.searchsorted(begin, b.suffixes[at], "right") - 1
                 doc = np.searchsorted(shard.begin, place[at], "right") - 1
                 yield pa.record_batch(
-                    [pa.array([b.item_of[i][0] for i in item], pa.string()), pa.array(b.suffixes[at] - begin[item]), pa.array([keys[d][0] for d in doc], pa.int64()), pa.array(place[at] - shard.begin[doc]), pa.array(size[at])],
+                    [pa.array([b.item_of[i][0] for i in item], pa.string()), pa.array(b.suffixes[at] - begin[item]), pa.array([keys[d] for d in doc], pa.int64()), pa.array(place[at] - shard.begin[doc]), pa.array(size[at])],
                     ["item_id", "item_word", "doc_id", "doc_word", "words"],
                 )
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "item_id string, item_word long, doc_id long, doc_word long, words long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "item_id string, item_word long, doc_id long, doc_word long, words long")
 
 
 _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -223,47 +272,28 @@ _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 str
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    blocks = _blocks(bench, window)
-    if len(blocks) == 1:
-        return texts.mapInArrow(_reporter(blocks[0], False), _REPORT)
-    # A benchmark over one block: each pass gives the words hit and the items, and these are merged by document.
-    out = None
-    for block in blocks:
-        part = texts.mapInArrow(_reporter(block, True), "doc_id long, n_words long, hits binary, items array<string>, digest long")
-        out = part if out is None else out.unionByName(part)
-
-    def merge(pdf):
-        import pandas as pd
-
-        copies = len(pdf) // len(blocks)
-        hits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf.hits])
-        names = sorted({x for items in pdf["items"] for x in items})
-        n = int(np.unpackbits(hits).sum())
-        row = (pdf.doc_id[0], pdf.n_words[0], n, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n > 0)
-        return pd.DataFrame([row] * copies, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return out.groupBy("doc_id", "digest").applyInPandas(merge, _REPORT)
-
+    blocks = write_benchmark(bench, window)
 
-def _reporter(bench: Benchmark, raw: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, shard in _shards(batches, bench):
-            hit, pairs = shard.windows()
+        for keys, texts in _shard_texts(batches):
+            begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+            hit, names = np.zeros(begin[-1] + 1, bool), [[] for _ in keys]
+            for block in blocks:
+                found, pairs = Shard(texts, block).windows()
+                hit |= found
+                for d, j in pairs.tolist():
+                    names[d].append(block.names[j])
             before = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = before[shard.begin[1:] - 1] - before[shard.begin[:-1]]
-            of = np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1))
-            names = [[bench.names[j] for j in pairs[of[i] : of[i + 1], 1]] for i in range(len(keys))]
-            ids, sizes = pa.array([k for k, _ in keys], pa.int64()), pa.array(shard.sizes)
-            if raw:
-                bits = [np.packbits(hit[s : s + n]).tobytes() for s, n in zip(shard.begin, shard.sizes, strict=False)]
-                marks = [x for _, x in keys]
-                yield pa.record_batch([ids, sizes, pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(marks, pa.int64())], ["doc_id", "n_words", "hits", "items", "digest"])
-            else:
-                shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-                yield pa.record_batch([ids, sizes, pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(shas), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            n_hit = before[begin[1:] - 1] - before[begin[:-1]]
+            names = [sorted(x) for x in names]
+            shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.record_batch(
+                [pa.array(keys, pa.int64()), sizes, pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(shas), pa.array(n_hit > 0)],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            )
 
-    return run
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _REPORT)
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -271,23 +301,23 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
     from pyspark.sql.functions import pandas_udf
 
     prepare(docs.sparkSession)
-    blocks = _blocks(bench, window)
-    kept = docs
-    for block in blocks:
-
-        def clean(texts, b=block):
-            import pandas as pd
-
-            out: list[bool] = []
-            batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["k", "t"])
-            for _, shard in _shards(iter([batch]), b):
-                hit, _ = shard.windows()
-                before = np.concatenate([[0], np.cumsum(hit)])
-                out += (before[shard.begin[1:] - 1] == before[shard.begin[:-1]]).tolist()
-            return pd.Series(out, dtype=bool)
-
-        kept = kept.filter(pandas_udf(clean, "boolean")(F.col("text").cast("binary")))
-    return kept
+    blocks = write_benchmark(bench, window)
+
+    def clean(texts):
+        import pandas as pd
+
+        out: list[bool] = []
+        batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["k", "t"])
+        for _, words in _shard_texts(iter([batch])):
+            begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in words])])
+            hit = np.zeros(begin[-1] + 1, bool)
+            for block in blocks:
+                hit |= Shard(words, block).windows()[0]
+            before = np.concatenate([[0], np.cumsum(hit)])
+            out += (before[begin[1:] - 1] == before[begin[:-1]]).tolist()
+        return pd.Series(out, dtype=bool)
+
+    return docs.filter(pandas_udf(clean, "boolean")(F.col("text").cast("binary")))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,13 @@ cannot use its share (it has its tokens times the allowed epochs) leaves the res
 whole family cannot use goes to the family's own siblings. A leaf's share is its tokens once per whole epoch and, of a last
 epoch in seeded order, a prefix: the document on its edge counts with the tokens that still fit.
 
-Everything is DataFrame work. Leaves are aggregated before any window; a leaf's prefix is found over BUCKETS ranges of the
-order's hash, so that only the range on the edge is sorted, whatever the leaf's size.
+Everything is DataFrame work. Leaves are aggregated before any window; a leaf's prefix is found over 256 ranges of the order's hash, in the range
+on the edge over 256 smaller ones, and so on for LEVELS times, so that what is sorted in the end is a 16-millionth of the leaf.
 
 Defined cases: null texts have no tokens; null or unknown domain, lang or source are nodes of their own, with the default weight; a
 weight of 0 or less gives nothing; documents without tokens come along with the epochs that reach their place; repeated rows are
-each counted; an empty table gives no rows; other columns are ignored or, in mix, kept.
+each counted; rows of one doc_id, or without one, have one place in the order and follow each other by their number of tokens, in one task
+where they stand on the edge; an empty table gives no rows; other columns are ignored or, in mix, kept, where each row is taken or left by itself.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, with_row_id
 
 #: Weights by level; names that are not listed weigh 1. The budget is this share of all tokens.
 DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS = {"d0": 2, "d1": 1, "d2": 1}, {"en": 3, "de": 2, "fr": 2, "es": 2}, {}
 SHARE_PERCENT, EPOCHS, SEED = 70, 3, 17
-BUCKETS = 4096
+#: How often the range on the edge is divided, and leaves whose targets are broadcast; more are joined by shuffle.
+LEVELS, FEW_LEAVES = 3, 100_000
 
 
 def default_domain() -> Column:
@@ -84,7 +86,7 @@ def order_hash(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 
 def select_mix(rows: DataFrame, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)) -> DataFrame:
-    """rows: doc_id, domain, lang, source, n_tokens, small and materialised. Gives these, epoch and take_tokens for each copy that is taken."""
+    """rows: doc_id, domain, lang, source, n_tokens and, if so, row, small and materialised. Gives these, epoch and take_tokens for each copy that is taken."""
     leaf = ["domain", "lang", "source"]
     leaves = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("n"))
     total = leaves.groupBy().agg(F.sum("n")).first()[0] or 0  # one number
@@ -92,33 +94,48 @@ def select_mix(rows: DataFrame, share_percent: int = SHARE_PERCENT, epochs: int
     targets = targets.withColumn("whole", F.expr("CASE WHEN n > 0 THEN target DIV n ELSE 0 END")).withColumn("rest", F.expr("CASE WHEN n > 0 THEN target % n ELSE 0 END"))
     targets = materialize(targets.select(*[F.col(c).alias(f"t_{c}") for c in leaf], "whole", "rest"), "mix-targets")
     on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in leaf]
-    placed = rows.join(targets, on).drop(*[f"t_{c}" for c in leaf])
+    placed = rows.join(F.broadcast(targets) if targets.count() <= FEW_LEAVES else targets, on).drop(*[f"t_{c}" for c in leaf])
     whole = placed.filter("whole > 0").select(*rows.columns, F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("epoch"), F.col("n_tokens").alias("take_tokens"))
-    last = placed.filter("rest > 0").withColumn("h", order_hash(seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-    last = materialize(last, "mix-last")
-    buckets = last.groupBy(*leaf, "rest", "bucket").agg(F.sum("n_tokens").alias("b_tokens"))
-    along = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("b_before", F.coalesce(F.sum("b_tokens").over(along), F.lit(0))).filter("b_before < rest")
-    buckets = materialize(buckets.select(*[F.col(c).alias(f"t_{c}") for c in leaf], F.col("bucket").alias("t_bucket"), "b_before", "b_tokens"), "mix-buckets")
-    near = last.join(buckets, [*on, F.col("bucket") == F.col("t_bucket")])
-    inside = near.filter("b_before + b_tokens <= rest").select(*rows.columns, F.col("whole").cast("int").alias("epoch"), F.col("n_tokens").alias("take_tokens"))
-    within = Window.partitionBy(*leaf).orderBy("h", F.col("doc_id"), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = near.filter("b_before + b_tokens > rest").withColumn("at", F.col("b_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).filter("at < rest")
-    edge = edge.select(*rows.columns, F.col("whole").cast("int").alias("epoch"), F.least(F.col("n_tokens"), F.col("rest") - F.col("at")).alias("take_tokens"))
-    return whole.unionByName(inside).unionByName(edge)
+    edge = placed.filter("rest > 0").withColumn("h", order_hash(seed, F.col("whole"), F.col("doc_id"))).withColumn("at", F.lit(0).cast("long"))
+    out = whole
+    for level in range(LEVELS):
+        edge = materialize(edge.withColumn("part", F.conv(F.substring("h", 1 + 2 * level, 2), 16, 10).cast("int")), "mix-edge")
+        parts = edge.groupBy(*leaf, "rest", "at", "part").agg(F.sum("n_tokens").alias("b_tokens"))
+        along = Window.partitionBy(*leaf).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("b_at", F.col("at") + F.coalesce(F.sum("b_tokens").over(along), F.lit(0))).filter("b_at < rest")
+        parts = materialize(parts.select(*[F.col(c).alias(f"t_{c}") for c in leaf], F.col("part").alias("t_part"), "b_at", "b_tokens"), "mix-parts")
+        small = parts.count() <= 256 * FEW_LEAVES // 100
+        near = edge.join(F.broadcast(parts) if small else parts, [*on, F.col("part") == F.col("t_part")])
+        out = out.unionByName(near.filter("b_at + b_tokens <= rest").select(*rows.columns, F.col("whole").cast("int").alias("epoch"), F.col("n_tokens").alias("take_tokens")))
+        edge = near.filter("b_at + b_tokens > rest").select(*rows.columns, "whole", "rest", "h", F.col("b_at").alias("at"))
+    within = Window.partitionBy(*leaf).orderBy("h", "doc_id", "n_tokens", *[c for c in rows.columns if c == "row"]).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("at", F.col("at") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).filter("at < rest")
+    return out.unionByName(edge.select(*rows.columns, F.col("whole").cast("int").alias("epoch"), F.least(F.col("n_tokens"), F.col("rest") - F.col("at")).alias("take_tokens")))
 
 
 def counted(docs: DataFrame, domain: Column | None = None) -> DataFrame:
-    """The columns that the choice is made on; texts stay behind."""
-    rows = docs.select(F.col("doc_id").cast("long"), (default_domain() if domain is None else domain).alias("domain"), "lang", "source", tokens().alias("n_tokens"))
+    """The columns that the choice is made on, and the row, if docs carry gm_row; texts stay behind."""
+    row = [F.col("gm_row").alias("row")] if "gm_row" in docs.columns else []
+    rows = docs.select(*row, F.col("doc_id").cast("long"), (default_domain() if domain is None else domain).alias("domain"), "lang", "source", tokens().alias("n_tokens"))
     return materialize(rows, "mix-rows")
 
 
+def first_tokens(text: str, n: str) -> Column:
+    """The text up to the end of its n-th token."""
+    pieces = F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), F.col(n).cast("int")), "")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with all columns: each row once for each epoch that takes it, whole; rows with a null doc_id are left out."""
-    chosen = select_mix(counted(docs), **options).groupBy("doc_id").agg(F.countDistinct("epoch").alias("gm_times"))
-    chosen = materialize(chosen, "mix-chosen")
-    out = docs.join(chosen.hint("merge"), "doc_id").withColumn("gm_copy", F.explode(F.sequence(F.lit(1), F.col("gm_times").cast("int"))))
+    """docs with all columns: each row once for each epoch that takes it; a document on an edge, of which fewer tokens are taken, is cut behind them (and so its n_chars)."""
+    marked = with_row_id(docs)
+    taken = select_mix(counted(marked), **options).groupBy("row").agg(F.collect_list(F.when(F.col("take_tokens") < F.col("n_tokens"), F.col("take_tokens")).otherwise(-1)).alias("gm_takes"))
+    taken = materialize(taken.withColumnRenamed("row", "gm_row"), "mix-taken")
+    out = marked.join(taken.hint("merge"), "gm_row").withColumn("gm_take", F.explode("gm_takes"))
+    cut = F.col("gm_take") >= 0
+    out = out.withColumn("text", F.when(cut, first_tokens("text", "gm_take")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

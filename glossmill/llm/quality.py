@@ -1,16 +1,17 @@
 """Quality by compression: Zstandard dictionaries of good and of bad text, and the difference of the sizes that they give.
 
 A whole text is cut into blocks, since a dictionary helps most at the start of what is compressed; each block is compressed with
-either dictionary, and the difference of the summed sizes, over the summed sizes without one, is the raw score. With it goes
-the plain compression ratio, which tells endless repeats, that both dictionaries compress alike. A logistic curve fitted on
-labelled rows that neither dictionary saw turns the two into a probability.
+either dictionary, and the difference of the summed sizes over the bytes of the text is the raw score. Bytes, not compressed bytes, so that
+endless repeats, which both dictionaries compress alike, stand near 0 and far from good text. A logistic curve fitted on labelled rows that
+neither dictionary saw turns this one number into a probability.
 
-The fit takes a bounded sample of labelled rows (PER_CLASS for each label, of smallest hash, texts up to SAMPLE_CHARS
-characters), and of these only rows whose crc32(doc_id as text) mod 5 is not 0. Labels, lang, source and doc_id are no inputs.
+The fit takes a bounded sample: PER_CLASS labelled rows for each label, of smallest hash, and of each text, whatever its length, up to
+SAMPLE_BLOCKS evenly spaced blocks; of these only rows whose crc32(doc_id as text) mod 5 is not 0. Labels, lang, source and doc_id are no inputs.
 
 Defined cases: null and empty texts get the score of no evidence; rows with a null doc_id are scored with held_out null; without
-four labels of either kind, all scores are the share of good labels (0.5 without any); repeated rows are each scored; a doc_id labelled
-twice counts with the smaller label; an empty table gives no rows; other columns are ignored or, in keep_good, kept.
+four labelled texts of either kind, all scores are the share of good labels (0.5 without any); repeated rows are each scored; a doc_id labelled
+twice counts with the smaller label, and one of its texts, of smallest hash, is in the sample; an empty table gives no rows; other columns are
+ignored or, in keep_good, kept.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import prepare, table
 
-PER_CLASS, SAMPLE_CHARS = 1200, 40_000
+PER_CLASS, SAMPLE_BLOCKS = 1200, 12
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1024, 6
 THRESHOLD = 0.3
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Trained from blocks of the texts; raw content where they are too few."""
-    blocks = [t[i : i + BLOCK_BYTES] for t in texts for i in range(0, len(t), BLOCK_BYTES)]
+def blocks_of(text: bytes) -> list[bytes]:
+    return [text[i : i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
+
+
+def dictionary(blocks: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """Trained from blocks; raw content where they are too few."""
     total = sum(map(len, blocks))
     try:
         return zstandard.train_dictionary(min(size, max(256, total // 4)), blocks).as_bytes()
@@ -46,36 +50,34 @@ class Compressor:
 
     def __init__(self, good: bytes, bad: bytes, level: int = LEVEL):
         self.parts = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (good, bad)]
-        self.parts.append(zstandard.ZstdCompressor(level=level, write_content_size=False))
 
-    def raw(self, text: bytes) -> tuple[float, float] | None:
-        """The normalised difference, above 0 where the dictionary of good text compresses better, and the plain ratio; None without text."""
-        blocks = [text[i : i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
-        good, bad, plain = (sum(len(p.compress(b)) for b in blocks) for p in self.parts)
-        return ((bad - good) / plain, plain / len(text)) if blocks else None
+    def raw(self, blocks: list[bytes]) -> float | None:
+        """The normalised difference, above 0 where the dictionary of good text compresses better; None without text."""
+        good, bad = (sum(len(p.compress(b)) for b in blocks) for p in self.parts)
+        return (bad - good) / sum(map(len, blocks)) if blocks else None
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the columns of x, and the intercept last, of a logistic curve with a slight pull towards 0, by Newton's steps."""
-    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-    a = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], 1)
-    w, pull = np.zeros(a.shape[1]), np.eye(a.shape[1]) * 0.01
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve with a slight pull towards 0, by Newton's steps."""
+    mean, scale = x.mean(), x.std() or 1.0
+    a = np.stack([(x - mean) / scale, np.ones(len(x))], 1)
+    w, pull = np.zeros(2), np.eye(2) * 0.01
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull, a.T @ (y - p) - pull @ w)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return np.append(w[:-1] / scale, w[-1] - (w[:-1] / scale) @ mean)
+    return float(w[0] / scale), float(w[1] - w[0] / scale * mean)
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, weights: tuple[float, float, float], prior: float):
-        self.good, self.bad, self.weights, self.prior = good, bad, weights, prior
+    def __init__(self, good: bytes, bad: bytes, curve: tuple[float, float], prior: float):
+        self.good, self.bad, self.curve, self.prior = good, bad, curve, prior
 
     def score(self, texts: list[bytes | None]) -> list[float]:
-        c, (w, v, b) = _compressor(self.good, self.bad), self.weights
-        logits = [self.prior if (x := c.raw(t or b"")) is None else w * x[0] + v * x[1] + b for t in texts]
+        c, (slope, level) = _compressor(self.good, self.bad), self.curve
+        logits = [self.prior if (x := c.raw(blocks_of(t or b""))) is None else slope * x + level for t in texts]
         return [1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) for z in logits]
 
 
@@ -93,27 +95,38 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Half of the sample makes the dictionaries, the other half the curve."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, list[bytes]]]:
+    """Label and blocks of each labelled text of the sample, in an order fixed by the rows."""
     told = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).filter(~held_out(F.col("doc_id").cast("long")))
     told = told.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     ids = [told.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     picked = {r.doc_id: r.quality for part in ids for r in part.collect()}
     small = docs.sparkSession.createDataFrame(list(picked.items()), "doc_id long, quality int")  # 2 * per_class rows at most
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(small), "doc_id").filter(F.length("text").between(1, SAMPLE_CHARS))
-    rows = sorted((r.h, r.doc_id, r.text.encode(), r.quality) for r in texts.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text", "quality").limit(4 * per_class).collect())
-    of = [[t for _, _, t, q in rows if q == k] for k in (0, 1)]
-    n = {r.quality: r["count"] for r in told.groupBy("quality").count().collect()}
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data")).join(F.broadcast(small), "doc_id").filter(F.octet_length("data") > 0)
+    n = F.ceil(F.octet_length("data") / BLOCK_BYTES).cast("int")
+    taken = F.least(n, F.lit(SAMPLE_BLOCKS))
+    blocks = F.transform(F.sequence(F.lit(0), taken - 1), lambda i: F.substring("data", (F.floor(i * n / taken) * BLOCK_BYTES + 1).cast("int"), F.lit(BLOCK_BYTES)))
+    each = texts.select("doc_id", "quality", F.xxhash64("data").alias("h"), blocks.alias("blocks")).groupBy("doc_id").agg(F.min(F.struct("h", "quality", "blocks")).alias("t"))
+    rows = sorted(((r.t.h, r.doc_id, r.t.quality, [bytes(b) for b in r.t.blocks]) for r in each.collect()), key=lambda r: r[:2])  # one for each id of the sample
+    return [(q, blocks) for _, _, q, blocks in rows]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Half of the sample makes the dictionaries, the other half the curve."""
+    rows = sample(docs, labels, per_class)
+    of = [[t for q, t in rows if q == k] for k in (0, 1)]
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).filter(~held_out(F.col("doc_id").cast("long")))
+    n = {r.quality: r["count"] for r in known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).groupBy("quality").count().collect()}
     prior = math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
     if min(map(len, of)) < 4:
-        return Model(b"-", b"-", (0.0, 0.0, prior), prior)
-    bad, good = (dictionary(t[::2]) for t in of)
+        return Model(b"-", b"-", (0.0, prior), prior)
+    bad, good = (dictionary([b for t in part[::2] for b in t]) for part in of)
     c = Compressor(good, bad)
     rest = [(c.raw(t), q) for q in (0, 1) for t in of[q][1::2]]
-    w, v, b = calibrate(np.array([x for x, _ in rest]), np.array([float(q) for _, q in rest]))
+    slope, level = calibrate(np.array([x for x, _ in rest]), np.array([float(q) for _, q in rest]))
     # The classes were sampled evenly; the curve is moved back to the labels' own shares.
     used = math.log(sum(q for _, q in rest) / sum(1 - q for _, q in rest))
-    return Model(good, bad, (w, v, b + prior - used), prior)
+    return Model(good, bad, (slope, level + prior - used), prior)
 
 
 def score_column(model: Model, text="text") -> F.Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ans, cdc, chat, decontam, mixing, pii, quality, simhash, topk, warc
@@ -22,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_simhash": simhash.op9_simhash,
         "op10_chat": chat.op10_chat,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -7,8 +7,8 @@ by the triangle bounds, and emits a spanning forest instead of all pairs. Compon
 with pointer jumping; nothing about all documents reaches the driver.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero, linked like any other; rows with a
-null doc_id get a fingerprint and the component of their group (null if the whole group has no id); repeated rows are each
-returned; an empty table gives an empty result; other columns are ignored.
+null doc_id get a fingerprint and the component of their group (null if the whole group has no id); each row is a row of its own, so that repeated
+rows and different texts under one doc_id are each returned, and of a group one row stays; an empty table gives an empty result; other columns are ignored or, in one_per_group, kept.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import hot_keys, join_by, materialize, prepare, with_row_id
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in the sample that the shard tree is fitted on; every fingerprint is indexed.
@@ -51,15 +51,16 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row."""
+    """row, doc_id, fp (the 64 bits as a signed long) of each row; docs carry gm_row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(x, shingle, seed) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+            bits = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(2)], np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], ["row", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("gm_row").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "row struct<f:long,i:long>, doc_id long, fp long")
 
 
 def distances(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -222,22 +223,32 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         seen = materialize(edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen")), "cc-seen")
         low = materialize(labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "cc-low")
-        up = low.select(F.col("node").alias("parent"), F.col("label").alias("grand"))
-        labels = materialize(low.join(up, low.label == up.parent, "left").select("node", "old", F.least("label", "grand").alias("label")), "cc-labels")
+        # Where the labels themselves point: one row for each label, so that a large component's is looked up once and then by broadcast.
+        counts = low.groupBy("label").agg(F.count("*").alias("n"))
+        grand = materialize(counts.join(low.select(F.col("node").alias("label"), F.col("label").alias("grand")), "label"), "cc-grand")
+        jumped = join_by(low, grand.select("label", "grand"), hot_keys(grand, "label"), "label")
+        labels = materialize(jumped.select("node", "old", F.least("label", "grand").alias("label")), "cc-labels")
         if labels.filter("label <> old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
 
 
+def owned_by_label(linked: DataFrame, key: str) -> DataFrame:
+    """key, component_id: the smallest first of the rows of its label. linked: key, first, label."""
+    lowest = materialize(linked.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "cc-lowest")
+    return join_by(linked, lowest.select("label", "component_id"), hot_keys(lowest, "label"), "label").select(key, "component_id")
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of each row of docs."""
+    """row, doc_id, fp, label (one of the group's fingerprints), component_id of each row of docs; docs with a column gm_row keep it as row."""
+    docs = docs if "gm_row" in docs.columns else with_row_id(docs)
     marked = materialize(fingerprints(docs, shingle), "simhash-fp")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     labels = components(near_links(distinct.select("fp"), radius))
     linked = materialize(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-linked")
-    lowest = materialize(linked.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-lowest")
-    owned = materialize(linked.join(lowest, "label").select("fp", "component_id"), "simhash-owned")
-    return marked.join(owned, "fp").select("doc_id", "fp", "component_id")
+    owned = owned_by_label(linked, "fp").withColumnRenamed("fp", "of")
+    owned = linked.select("fp", "label").join(owned, F.col("fp") == F.col("of")).select("fp", "label", "component_id")
+    return join_by(marked, materialize(owned, "simhash-owned"), hot_keys(distinct, "fp"), "fp").select("row", "doc_id", "fp", "label", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,11 +259,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their group, one row for each; rows without an id all stay."""
-    groups = near_duplicate_groups(docs) if groups is None else groups
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = materialize(kept, "simhash-kept")
-    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.filter("copies > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of each group the row of the smallest doc_id (rows without one last, then the first in the files), with all its columns.
+
+    docs carry gm_row, if groups (row, doc_id, label) are given.
+    """
+    marked = docs if "gm_row" in docs.columns else with_row_id(docs)
+    groups = near_duplicate_groups(marked) if groups is None else groups
+    best = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    kept = materialize(best.select(F.col("best.row").alias("gm_row")), "simhash-kept")
+    return marked.join(kept.hint("merge"), "gm_row", "left_semi").select(*[c for c in docs.columns if c != "gm_row"])

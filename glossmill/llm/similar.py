@@ -9,8 +9,8 @@ members of blocks that hold several groups meet through the rarest shingles of t
 neither copies of one text nor texts with a common passage are compared all with all. Sets are fetched for candidates only, and a hub
 of many comparisons is salted.
 
-Defined cases: a null text counts as empty; texts without words form one group; fewer words than a shingle are one shingle; rows with a
-null doc_id are in no group; repeated rows share a group; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text counts as empty; texts without words form one group; fewer words than a shingle are one shingle; each row is a
+row of its own, also if its doc_id is null or repeated, and repeated rows share a group; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import hot_keys, join_by, materialize, prepare, with_row_id
 from .simhash import RADIUS, SEED, components, near_links
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -66,37 +66,35 @@ def set_id(distinct: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, sid (of the shingle set), fp (SimHash), keys (of the bands) of each row with an id."""
+    """row, doc_id, sid (of the shingle set), fp (SimHash), keys (of the bands) of each row; docs carry gm_row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sids, fps, keys = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 hashes = shingle_hashes(value.as_py(), shingle)
                 distinct = np.unique(hashes)
                 sids.append(set_id(distinct))
                 fps.append(majority(hashes) if len(hashes) else 0)
                 keys.append(band_keys(distinct))
             fp = np.array(fps, np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(sids, pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sid", "fp", "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "sid", "fp", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, sid long, fp long, keys array<long>")
+    rows = docs.select(F.col("gm_row").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "row struct<f:long,i:long>, doc_id long, sid long, fp long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """sid, items (the sorted set) of the sets in wanted (sid, first), whose texts are found by the id first."""
+    """sid, items (the sorted set) of the sets in wanted (sid, first), whose texts are found by the row first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in batch.column(0)]
             yield pa.record_batch([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "items"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(wanted.select("first").distinct().hint("merge"), "first", "left_semi").select("text")
-    found = rows.mapInArrow(run, "sid long, items binary").join(wanted.select("sid").hint("merge"), "sid", "left_semi")
-    return found.dropDuplicates(["sid"])
+    rows = docs.select(F.col("gm_row").alias("first"), F.col("text").cast("binary").alias("text"))
+    return rows.join(wanted.select("first").hint("merge"), "first", "left_semi").select("text").mapInArrow(run, "sid long, items binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -163,9 +161,11 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingle
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id that links reach) of each row of docs with an id."""
+    """row, doc_id, label (one of the group's sets) of each row of docs; docs with a column gm_row keep it as row."""
+    docs = docs if "gm_row" in docs.columns else with_row_id(docs)
     marked = materialize(signatures(docs, shingle), "similar-marked")
-    distinct = materialize(marked.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "similar-distinct")
+    sized = marked.groupBy("sid").agg(F.min("row").alias("first"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    distinct = materialize(sized, "similar-distinct")
     firsts = distinct.select("sid", "first")
     # Close fingerprints, from the trees.
     heads = materialize(distinct.groupBy("fp").agg(F.min("sid").alias("head")), "similar-heads")
@@ -192,7 +192,6 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     later = materialize(later, "similar-later")
     if not later.isEmpty():
         labels = components(links.unionByName(materialize(verified(later, docs, firsts, shingle, similarity), "similar-later-links")))
-    linked = materialize(firsts.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label")), "similar-linked")
-    lowest = materialize(linked.groupBy("label").agg(F.min("first").alias("component_id")), "similar-lowest")
-    owned = materialize(linked.join(lowest, "label").select("sid", "component_id"), "similar-owned")
-    return marked.select("doc_id", "sid").join(owned, "sid").select("doc_id", "component_id")
+    owned = firsts.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"))
+    owned = materialize(owned, "similar-owned")
+    return join_by(marked.select("row", "doc_id", "sid"), owned, hot_keys(distinct, "sid", "copies"), "sid").select("row", "doc_id", "label")

@@ -1,17 +1,18 @@
 """WARC archives compressed record by record with a Zstandard dictionary embedded in a leading skippable frame.
 
-The dictionary is trained on a bounded sample of distinct payloads (those of smallest hash below a size).
+The dictionary is trained on a bounded sample of the records that are archived: those of the distinct pages of smallest hash below a size.
 Each task writes files named after its attempt; only those that the finished job lists are read. Equal payloads of
 at least 100 bytes are stored once, as the response of the smallest page_id; the others become revisit records.
 
 Defined cases: null html counts as empty; a null page_id writes an empty id and reads back as null, and never is the
-response that others revisit unless no page of the payload has an id; repeated rows that share the smallest page_id are all
-responses; control characters in a url are percent-encoded; an empty table gives no rows; other columns are ignored.
+response that others revisit unless no page of the payload has an id; rows that share the smallest page_id are all
+responses, since a revisit names another record by its id and these have the same; control characters in a url are percent-encoded; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import commit_name, fresh_path, materialize, open_store, prepare, table
+from .common import commit_name, fresh_path, hot_keys, materialize, open_store, prepare, table
 
 LEAST_BYTES = 100
 #: Pages in the dictionary's sample, their greatest size, and the dictionary's size.
@@ -70,40 +71,50 @@ def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     return number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None
 
 
-def records_in(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, each from its own frame."""
-    magic, size = struct.unpack_from("<II", data)
+def records_in(file, piece: int = 1 << 18) -> Iterator[bytes]:
+    """The records of an archive (a file open for reading), each from its own frame; no more than a record and a piece of the file is held."""
+    magic, size = struct.unpack("<II", file.read(8))
     if magic != DICTIONARY_FRAME:
         raise ValueError("the archive has no leading dictionary")
-    open_frame = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])).decompressobj
-    view, at = memoryview(data), 8 + size
-    while at < len(data):
-        frame, parts = open_frame(), []
-        while not frame.eof:
-            piece = view[at : at + 16384]
-            if not len(piece):
-                raise ValueError("the archive ends within a frame")
-            parts.append(frame.decompress(piece))
-            at += len(piece) - len(frame.unused_data)
-        yield b"".join(parts)
+    open_frame = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(file.read(size))).decompressobj
+    frame, parts, data = None, [], file.read(piece)
+    while data or frame:
+        if frame is None:
+            frame, parts = open_frame(), []
+        if not data:
+            raise ValueError("the archive ends within a frame")
+        parts.append(frame.decompress(data))
+        data = frame.unused_data if frame.eof else b""
+        if frame.eof:
+            yield b"".join(parts)
+            frame = None
+        data = data or file.read(piece)
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, first (the smallest page_id of the payload, null where nothing repeats)."""
+    """page_id, url, payload, digest, first (the smallest page_id of the payload, null where nothing repeats).
+
+    Small payloads are no one's copies and a payload that very many pages share is looked up in a broadcast table, so that no task gets more than its share."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    repeated = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(materialize(repeated.select("digest", "first"), "warc-firsts"), "digest", "left")
+    small, large = rows.filter(F.octet_length("payload") < least), rows.filter(F.octet_length("payload") >= least)
+    repeated = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    repeated = materialize(repeated, "warc-firsts")
+    hot = materialize(hot_keys(repeated, "digest").select("digest", "first"), "warc-hot")
+    often = large.join(F.broadcast(hot), "digest")
+    rest = large.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(repeated.select("digest", "first").hint("merge"), "digest", "left")
+    return small.withColumn("first", F.lit(None).cast("long")).unionByName(often).unionByName(rest)
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write the archives and return them: path, records, bytes."""
     prepare(pages.sparkSession)
     # First the hashes alone, so that the driver never gets the pages of all tasks; then the pages at or below the last.
-    small = pages.select("html", F.xxhash64("html").alias("h")).filter(F.octet_length("html").between(1, SAMPLE_BYTES))
-    hashes = [r.h for r in small.select("h").orderBy("h").limit(SAMPLE_PAGES).collect()]
-    chosen = small.filter(F.col("h") <= hashes[-1]).groupBy("h").agg(F.min("html").alias("html")).collect() if hashes else []
-    trained = train_dictionary([r.html.encode() for r in sorted(chosen, key=lambda r: r.h)])
+    small = pages.select(F.col("page_id").cast("long"), "url", "html", F.xxhash64("html").alias("h")).filter(F.octet_length("html").between(1, SAMPLE_BYTES))
+    hashes = [r.h for r in small.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    chosen = small.filter(F.col("h") <= hashes[-1]).groupBy("h").agg(F.min(F.struct("page_id", "url", "html")).alias("p")).collect() if hashes else []
+    bodies = [(r.p.page_id, r.p.url, r.p.html.encode()) for r in sorted(chosen, key=lambda r: r.h)]
+    trained = train_dictionary([record(i, url, body, hashlib.sha256(body).hexdigest(), None, False) for i, url, body in bodies])
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
 
@@ -140,13 +151,14 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_file(f"{root}/{path}") as f:
-                    rows = [parse(x) for x in records_in(f.read())]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+                with store.open_input_stream(f"{root}/{path}", compression=None) as f:
+                    found = map(parse, records_in(f))
+                    while rows := list(itertools.islice(found, 1000)):
+                        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     return files.select("path").repartition(tasks).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from glossmill.llm import similar
+from glossmill.llm import common, similar, simhash
 
 
 def brute_similar(rows):
@@ -31,6 +31,14 @@ def brute_similar(rows):
     return {key: lowest[find(i)] for i, (key, _) in enumerate(rows)}
 
 
+def lowest(groups):
+    """doc_id, smallest doc_id of its group, of each row."""
+    rows, least = groups.collect(), {}
+    for r in rows:
+        least[r.label] = min((x for x in (least.get(r.label), r.doc_id) if x is not None), default=None)
+    return [(r.doc_id, least[r.label]) for r in rows]
+
+
 def copies(n_texts, n_copies, edits, seed):
     rng, rows = random.Random(seed), []
     for t in range(n_texts):
@@ -45,7 +53,7 @@ def copies(n_texts, n_copies, edits, seed):
 
 def test_groups_match_brute_force(spark):
     rows = copies(6, 25, 6, 1) + [(500 + i, t) for i, (_, t) in enumerate(copies(40, 2, 3, 2))]
-    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = dict(lowest(similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))))
     assert got == brute_similar(rows)
     assert 46 < len(set(got.values())) < len(rows) - 40
 
@@ -54,8 +62,18 @@ def test_odd_rows(spark):
     text = "one two three four five six seven " * 3000
     rows = [(9, None), (3, ""), (4, " \n"), (5, "two words"), (6, "Two  WORDS"), (7, text), (2, text), (2, text), (None, text), (11, "two wordz")]
     docs = spark.createDataFrame([(i, t, i, 1) for i, t in rows], "doc_id long, text string, sid long, key int")
-    got = sorted(map(tuple, similar.similar_groups(docs).collect()))
-    assert got == [(2, 2), (2, 2), (3, 3), (4, 3), (5, 5), (6, 5), (7, 2), (9, 3), (11, 11)]
+    got = sorted(lowest(similar.similar_groups(docs)), key=str)
+    assert got == sorted([(2, 2), (2, 2), (3, 3), (4, 3), (5, 5), (6, 5), (7, 2), (9, 3), (11, 11), (None, 2)], key=str)
+    marked = common.with_row_id(docs)
+    kept = simhash.one_per_group(marked, similar.similar_groups(marked)).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 3, 5, 11] and set(kept[0].__fields__) == set(docs.columns)
+    # Different texts under one doc_id each stay, and so does a text without an id that nothing resembles.
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "m n o p q r"), (None, "s t u v w x"), (None, "s t u v w x")], "doc_id long, text string")
+    marked = common.with_row_id(docs)
+    kept = simhash.one_per_group(marked, similar.similar_groups(marked)).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "s"), (1, "a"), (1, "g"), (2, "m")]
+    assert simhash.one_per_group(docs).count() == 4
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert similar.similar_groups(docs.limit(0)).collect() == []
 
 
@@ -77,7 +95,9 @@ def test_prefixes_keep_every_similar_pair_and_few_others(spark):
     for key, text in rows:
         items = np.unique(similar.shingle_hashes(text.encode()))
         sets.setdefault(similar.set_id(items), (key, items))
-    firsts = spark.createDataFrame([(s, key) for s, (key, _) in sets.items()], "sid long, first long")
+    docs = common.with_row_id(docs)
+    place = {r.doc_id: r.gm_row for r in docs.select("doc_id", "gm_row").collect()}
+    firsts = spark.createDataFrame([(s, place[key]) for s, (key, _) in sets.items()], "sid long, first struct<f:long,i:long>")
     members = firsts.selectExpr("sid", "sid AS label")
     got = {tuple(r) for r in similar.prefix_pairs(members, docs, firsts, 5, 0.8).collect()}
     need = set()
