@@ -1,7 +1,8 @@
 """The corpus pipeline: quality classifier, near-dedup, benchmark decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents. Rows are kept or left by themselves, never by their doc_id alone, so that null and repeated doc_ids
+go through all stages: a null text is scored like an empty one, empty texts form one near-duplicate group, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a similarity of 0.8 or more over five-word shingles."""
-    return simhash.one_per_group(docs, similar.similar_groups(docs))
+    marked = common.with_row_id(docs)
+    kept = simhash.one_per_group(marked, similar.similar_groups(marked))
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the target weights; a document stands once for each epoch that takes it."""
+    """Documents in the target weights; a document stands once for each epoch that takes it, and one on an edge gives its first tokens."""
     return mixing.mix(docs)
 
 
