@@ -61,15 +61,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read again: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What materialize() has written and nobody has removed yet.
+_written: list[str] = []
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what materialize() wrote, when nothing lazily reads it any more."""
-    spark = df.sparkSession
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(df.sparkSession, folder)
+
+
+def written() -> int:
+    """How many tables materialize() has written so far; sweep() takes it."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, last: bool = True) -> None:
+    """Remove the tables written since then, when nothing lazily reads them any more; with last the newest stays."""
+    gone = _written[since:-1] if last else _written[since:]
+    for folder in gone:
+        _remove(spark, folder)
+    _written[since:] = _written[-1:] if last else []
 
 
 def with_row_id(docs: DataFrame, name: str = "gm_row") -> DataFrame:
@@ -91,9 +112,10 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
 
 def join_by(rows: DataFrame, facts: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     """rows joined with facts (one row a key): hot keys by broadcast, so that none gathers in a task, the others by shuffle."""
-    few = F.broadcast(facts.join(F.broadcast(hot.select(key)), key, "left_semi"))
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(few, key).unionByName(rest.join(facts.hint("merge"), key))
+    few = facts.join(F.broadcast(hot.select(key)), key, "left_semi").withColumn("gm_hot", F.lit(True))
+    looked = rows.join(F.broadcast(few), key, "left")
+    rest = looked.filter("gm_hot IS NULL").select(*rows.columns).join(facts.hint("merge"), key)
+    return looked.filter("gm_hot").select(rest.columns).unionByName(rest)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:

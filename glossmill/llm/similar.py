@@ -101,9 +101,10 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int,
     """The pairs (a, b: sids) whose sets have the similarity. firsts: sid, first."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sets = materialize(sets_of(docs, materialize(firsts.join(wanted, "sid"), "similar-wanted"), shingle), "similar-sets")
-    salts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")), "similar-salts")
+    counts = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")), "similar-salts")
+    salts, hot = counts.select("a", F.ceil(F.col("n") / SALT).cast("int").alias("salts")), hot_keys(counts, "a")
     left = sets.select(F.col("sid").alias("a"), F.col("items").alias("a_items")).join(salts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    dealt = materialize(pairs.join(salts, "a").select("a", "b", F.expr("CAST(pmod(xxhash64(b), salts) AS int)").alias("salt")), "similar-dealt")
+    dealt = materialize(join_by(pairs, salts, hot, "a").select("a", "b", F.expr("CAST(pmod(xxhash64(b), salts) AS int)").alias("salt")), "similar-dealt")
     both = dealt.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("b_items")).hint("merge"), "b").join(left.hint("merge"), ["a", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingle
 
     pieces = sets.select("sid", "items").mapInArrow(spread, "sid long, size int, item long")
     held = materialize(pieces.groupBy("item").agg(F.count("*").alias("held")).filter("held > 1"), "similar-held")
-    common = pieces.join(held.hint("merge"), "item")
+    common = join_by(pieces, held, hot_keys(held, "item", "held"), "item")
     each = common.groupBy("sid").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("held", "item"))).alias("items"))
     # The prefix has the places that leave similarity * size shingles from there on; lone shingles stand first.
     each = each.withColumn("lone", F.col("size") - F.size("items"))
@@ -173,10 +174,12 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     equal = distinct.join(heads, "fp").filter("sid <> head").select(F.col("head").alias("x"), F.col("sid").alias("y"))
     # Members of bands, each with the hub of its block.
     bands = materialize(distinct.select("sid", F.explode("keys").alias("key")), "similar-bands")
-    shared = materialize(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "similar-shared")
+    blocks = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "similar-blocks")
+    hot = materialize(hot_keys(blocks, "key").select("key"), "similar-hot")
+    shared = materialize(join_by(bands, blocks, hot, "key"), "similar-shared")
     ranked = materialize(shared.join(shared.groupBy("sid").agg(F.sum("n").alias("degree")), "sid").select("key", "sid", "degree"), "similar-ranked")
     hubs = materialize(ranked.groupBy("key").agg(F.max(F.struct("degree", "sid"))["sid"].alias("hub")), "similar-hubs")
-    hubbed = ranked.join(hubs, "key").filter("sid <> hub").select(F.col("hub").alias("x"), F.col("sid").alias("y"))
+    hubbed = join_by(ranked, hubs, hot, "key").filter("sid <> hub").select(F.col("hub").alias("x"), F.col("sid").alias("y"))
     ordered = [F.col("x").alias("a"), F.col("y").alias("b")]
     tried = materialize(close.select("x", "y").unionByName(equal).unionByName(hubbed).select(*ordered).distinct(), "similar-tried")
     links = materialize(verified(tried, docs, firsts, shingle, similarity), "similar-links")
@@ -185,7 +188,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     placed = ranked.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
     placed = materialize(placed, "similar-placed")
     groups = placed.groupBy("key", "label").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("groups"))
-    open_members = materialize(placed.join(groups.filter("groups > 1"), "key").select("sid", "label").distinct(), "similar-open")
+    unsettled = materialize(groups.filter("groups > 1"), "similar-unsettled-blocks")
+    open_members = materialize(join_by(placed, unsettled, hot, "key").select("sid", "label").distinct(), "similar-open")
     across = prefix_pairs(open_members, docs, firsts, shingle, similarity)
     done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     later = across.join(done, ["a", "b"], "left_anti")
