@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, since = common.table(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.sweep(spark, since)  # the stage's own tables, and the documents that it read
     return STAGES[-1][1](spark, docs, sf_dir)
