@@ -2,8 +2,8 @@
 
 A whole text is cut into blocks, since a dictionary helps most at the start of what is compressed; each block is compressed with
 either dictionary, and the difference of the summed sizes over the bytes of the text is the raw score. Bytes, not compressed bytes, so that
-endless repeats, which both dictionaries compress alike, stand near 0 and far from good text. A logistic curve fitted on labelled rows that
-neither dictionary saw turns this one number into a probability.
+endless repeats, which both dictionaries compress alike, stand near 0 and far from good text. A rising curve fitted on labelled rows that
+neither dictionary saw, the share of good rows by raw score, turns this one number into a probability.
 
 The fit takes a bounded sample: PER_CLASS labelled rows for each label, of smallest hash, and of each text, whatever its length, up to
 SAMPLE_BLOCKS evenly spaced blocks; of these only rows whose crc32(doc_id as text) mod 5 is not 0. Labels, lang, source and doc_id are no inputs.
@@ -16,8 +16,6 @@ ignored or, in keep_good, kept.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import zstandard
@@ -28,8 +26,10 @@ from pyspark.sql.functions import pandas_udf
 from .common import prepare, table
 
 PER_CLASS, SAMPLE_BLOCKS = 1200, 12
-DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1024, 6
+DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1024, 3
 THRESHOLD = 0.3
+#: Least labelled rows of a step of the curve.
+LEAST_BIN = 25
 
 
 def blocks_of(text: bytes) -> list[bytes]:
@@ -57,28 +57,26 @@ class Compressor:
         return (bad - good) / sum(map(len, blocks)) if blocks else None
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve with a slight pull towards 0, by Newton's steps."""
-    mean, scale = x.mean(), x.std() or 1.0
-    a = np.stack([(x - mean) / scale, np.ones(len(x))], 1)
-    w, pull = np.zeros(2), np.eye(2) * 0.01
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull, a.T @ (y - p) - pull @ w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1] - w[0] / scale * mean)
+def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray, least: int = LEAST_BIN) -> tuple[list[float], list[float]]:
+    """Knots and values of a rising curve from the raw score to the weighted share of good rows: bins of at least so many rows (fewer where they would be under eight), pooled until they rise."""
+    order = np.argsort(x, kind="stable")
+    x, y, w = x[order], y[order], w[order]
+    bins = []  # weight, weighted x, weighted good
+    for at in np.array_split(np.arange(len(x)), max(1, len(x) // least, min(8, len(x) // 2))):
+        bins.append([w[at].sum(), (w[at] * x[at]).sum(), (w[at] * y[at]).sum()])
+        while len(bins) > 1 and bins[-1][2] / bins[-1][0] <= bins[-2][2] / bins[-2][0]:
+            top = bins.pop()
+            bins[-1] = [a + b for a, b in zip(bins[-1], top, strict=True)]
+    return [float(b[1] / b[0]) for b in bins], [float(b[2] / b[0]) for b in bins]
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, curve: tuple[float, float], prior: float):
+    def __init__(self, good: bytes, bad: bytes, curve: tuple[list[float], list[float]], prior: float):
         self.good, self.bad, self.curve, self.prior = good, bad, curve, prior
 
     def score(self, texts: list[bytes | None]) -> list[float]:
-        c, (slope, level) = _compressor(self.good, self.bad), self.curve
-        logits = [self.prior if (x := c.raw(blocks_of(t or b""))) is None else slope * x + level for t in texts]
-        return [1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) for z in logits]
+        c = _compressor(self.good, self.bad)
+        return [self.prior if (x := c.raw(blocks_of(t or b""))) is None else float(np.interp(x, *self.curve)) for t in texts]
 
 
 _compressors: dict[tuple[bytes, bytes], Compressor] = {}
@@ -117,16 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     of = [[t for q, t in rows if q == k] for k in (0, 1)]
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).filter(~held_out(F.col("doc_id").cast("long")))
     n = {r.quality: r["count"] for r in known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).groupBy("quality").count().collect()}
-    prior = math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
+    prior = (n.get(1, 0) + 1) / (n.get(0, 0) + n.get(1, 0) + 2)
     if min(map(len, of)) < 4:
-        return Model(b"-", b"-", (0.0, prior), prior)
+        return Model(b"-", b"-", ([0.0], [prior]), prior)
     bad, good = (dictionary([b for t in part[::2] for b in t]) for part in of)
     c = Compressor(good, bad)
     rest = [(c.raw(t), q) for q in (0, 1) for t in of[q][1::2]]
-    slope, level = calibrate(np.array([x for x, _ in rest]), np.array([float(q) for _, q in rest]))
-    # The classes were sampled evenly; the curve is moved back to the labels' own shares.
-    used = math.log(sum(q for _, q in rest) / sum(1 - q for _, q in rest))
-    return Model(good, bad, (slope, level + prior - used), prior)
+    # The classes were sampled evenly; each row weighs what its class has in the labels.
+    share = [(1 - prior) / sum(q == 0 for _, q in rest), prior / sum(q == 1 for _, q in rest)]
+    x, y = np.array([x for x, _ in rest]), np.array([float(q) for _, q in rest])
+    return Model(good, bad, calibrate(x, y, np.where(y > 0, share[1], share[0])), prior)
 
 
 def score_column(model: Model, text="text") -> F.Column:

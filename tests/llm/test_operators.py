@@ -496,15 +496,18 @@ def test_quality_scores_match_brute_force(spark):
         size = [sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(text[i : i + 1024])) for i in range(0, len(text), 1024)) for d in dicts]
         return (size[1] - size[0]) / len(text)
 
-    slope, level = model.curve
+    knots, shares = model.curve
+    assert knots == sorted(knots) and shares == sorted(shares) and 0 <= shares[0] < shares[-1] <= 1
     scored = {r.doc_id: r.score for r in quality.quality(table, labels).collect()}
     for i, text in rows[::7]:
-        assert math.isclose(scored[i], 1 / (1 + math.exp(-max(-40, min(40, slope * raw(text.encode()) + level)))), rel_tol=1e-9)
-    x, y = np.array([-1.0, -0.5, 0.2, 0.3, 1.0, 2.0]), np.array([0.0, 0.0, 1.0, 0.0, 1.0, 1.0])
-    w, b = quality.calibrate(x, y)
-    p = 1 / (1 + np.exp(-(w * x + b)))
-    scale = x.std()  # the slopes of the penalised likelihood are 0 there
-    assert abs(((y - p) * (x - x.mean()) / scale).sum() - 0.01 * w * scale) < 1e-6 and abs((y - p).sum() - 0.01 * (b + w * x.mean())) < 1e-6
+        x = raw(text.encode())
+        k = sum(knot <= x for knot in knots)
+        want = shares[0] if k == 0 else shares[-1] if k == len(knots) else shares[k - 1] + (shares[k] - shares[k - 1]) * (x - knots[k - 1]) / (knots[k] - knots[k - 1])
+        assert math.isclose(scored[i], want, rel_tol=1e-9)
+    # By hand: bins of two, of which the second and third are pooled, as they fall.
+    x, y, w = np.arange(8.0), np.array([0.0, 0, 1, 1, 0, 1, 1, 1]), np.array([1.0, 1, 1, 1, 1, 3, 1, 1])
+    knots, shares = quality.calibrate(x[::-1], y[::-1], w[::-1], 2)
+    assert np.allclose(knots, [0.5, (2 + 3 + 4 + 15) / 6, 6.5]) and np.allclose(shares, [0, 5 / 6, 1])
 
 
 # op7
