@@ -120,7 +120,7 @@ def sanitise(c) -> Column:
 
 
 # Clock times with a half of the day, and numbers with separators (with and without the dash).
-_HALF_DAY = r"\b(\d{1,2}):(\d{2})\s*([ap])\.?\s*m\.?"
+_HALF_DAY = r"(?U:\b)(\d{1,2}):(\d{2})\s*([ap])\.?\s*m\.?"
 NUMBER, NUMBER_SEQUENCE = r"\d[\d.,:/\u2013-]*\d|\d", r"\d[\d.,:/-]*\d|\d"
 
 
@@ -129,16 +129,14 @@ def _in_24_hours(m: Column) -> Column:
     part = lambda i: F.regexp_extract(m, f"(?i){_HALF_DAY}", i)
     h, late = part(1).cast("int"), F.lower(part(3)) == "p"
     hour = F.when(h == 12, F.when(late, 12).otherwise(0)).when(late, h + 12).otherwise(h)
-    return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2))
+    return F.concat(F.when(hour < 10, "0").otherwise(""), hour.cast("string"), F.lit(":"), part(2))
 
 
 def canon_locale(c) -> Column:
     """Clock times in 24 hours and month names as numbers."""
     s = F.coalesce(_col(c), F.lit(""))
-    # Longer times first, since a shorter one can stand in a longer.
-    found = F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?i){_HALF_DAY}"), F.lit(0)))
-    longest = F.array_sort(F.transform(found, lambda m: F.struct((-F.length(m)).alias("k"), m.alias("m"))))
-    timed = F.aggregate(longest, s, lambda acc, x: F.replace(acc, x["m"], _in_24_hours(x["m"])))
+    found = F.regexp_extract_all(s, F.lit(f"(?i){_HALF_DAY}"), F.lit(0))
+    timed = F.array_join(F.zip_with(F.split(s, f"(?i){_HALF_DAY}", -1), found, lambda rest, m: F.concat(rest, F.coalesce(_in_24_hours(m), F.lit("")))), "")
     timed = F.when(s.rlike(r"(?i)\d:\d\d\s*[ap]\.?\s*m"), timed).otherwise(s)
     # A month is a whole word: the text falls into words and what stands between, and only words are looked up.
     number = {x: str(n) for n, names in MONTHS.items() for x in names.split()}

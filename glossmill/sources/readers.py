@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,14 +49,24 @@ def block_units(docs: DataFrame) -> DataFrame:
     return blocks(docs).select("doc_id", "block_ord", F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array("block"))).alias("unit_ord", "unit"))
 
 
-def word_list(spark: SparkSession, path: str, encoding: str = "UTF-8", fallback: str = "ISO-8859-2") -> DataFrame:
-    """Words of a dictionary file: line 1, which counts them, and the flags after a slash or tab are left out. A file that isn't valid in
-    the encoding UTF-8 is read in the fallback."""
-    content = F.col("content")
-    text = F.decode(content, encoding) if encoding != "UTF-8" else F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, fallback))
-    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(text, "\r?\n")).alias("n", "line")).filter("n > 0")
+def word_list(spark: SparkSession, path: str, encoding: str | None = None, fallback: str = "ISO-8859-2") -> DataFrame:
+    """Words of a dictionary file: line 1, which counts them, and the flags after a slash or tab are left out. Without an encoding the file is
+    UTF-8 or, if it isn't valid as that, in the fallback."""
+
+    def decoded(contents: pd.Series) -> pd.Series:
+        """Spark itself knows few encodings."""
+
+        def one(content: bytes) -> str:
+            try:
+                return content.decode(encoding or "utf-8")
+            except UnicodeDecodeError:
+                return content.decode(fallback, "replace")
+
+        return contents.map(one)
+
+    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.pandas_udf(decoded, "string")("content"), "\r?\n")).alias("n", "line"))
     word = F.lower(T.strip(F.regexp_extract("line", "^([^/\t]*)", 1)))
-    return lines.select(word.alias("word")).filter("word <> ''").distinct()
+    return lines.filter("n > 0").select(word.alias("word")).filter("word <> ''").distinct()
 
 
 def tab_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
