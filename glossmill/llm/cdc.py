@@ -147,9 +147,10 @@ def repeated_spans(docs: DataFrame, gap: int = GAP, least: int = LEAST) -> DataF
     # Where a chunk stands first: a hot digest's place by partial aggregation, the others' within the partitions of the join.
     here = F.struct("n", "span")
     hot_first = materialize(pieces.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest").agg(F.min(here).alias("origin")), "cdc-hot-first")
-    looked = pieces.join(F.broadcast(hot_first), "digest", "left")
-    often = looked.filter("origin IS NOT NULL").withColumn("first", here == F.col("origin")).drop("origin")
-    rest = looked.filter("origin IS NULL").drop("origin").join(several.select("digest").hint("merge"), "digest", "left_semi")
+    origins = hot_first.select("digest", "origin.*", F.lit(True).alias("found"))
+    often = pieces.join(F.broadcast(hot), "digest", "left_semi").join(F.broadcast(origins), ["digest", "n", "span"], "left")
+    often = often.withColumn("first", F.coalesce("found", F.lit(False))).drop("found")
+    rest = pieces.join(F.broadcast(hot), "digest", "left_anti").join(several.select("digest").hint("merge"), "digest", "left_semi")
     rest = rest.withColumn("first", F.row_number().over(Window.partitionBy("digest").orderBy("n", "span")) == 1)
     twice = often.unionByName(rest).select("n", "digest", "first", F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"))
     # Chunks of a run overlap or touch: each begins no later than the one before it ends.
