@@ -112,10 +112,10 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
 
 def join_by(rows: DataFrame, facts: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     """rows joined with facts (one row a key): hot keys by broadcast, so that none gathers in a task, the others by shuffle."""
-    few = facts.join(F.broadcast(hot.select(key)), key, "left_semi").withColumn("gm_hot", F.lit(True))
-    looked = rows.join(F.broadcast(few), key, "left")
-    rest = looked.filter("gm_hot IS NULL").select(*rows.columns).join(facts.hint("merge"), key)
-    return looked.filter("gm_hot").select(rest.columns).unionByName(rest)
+    keys = F.broadcast(hot.select(key))
+    few = F.broadcast(facts.join(keys, key, "left_semi"))
+    often = rows.join(keys, key, "left_semi").join(few, key, "left")
+    return often.unionByName(rows.join(keys, key, "left_anti").join(facts.hint("merge"), key))
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:

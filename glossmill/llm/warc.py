@@ -101,9 +101,9 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     repeated = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     repeated = materialize(repeated, "warc-firsts")
     hot = materialize(hot_keys(repeated, "digest").select("digest", "first"), "warc-hot")
-    looked = large.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
-    often = looked.filter("hot").drop("hot")
-    rest = looked.filter("hot IS NULL").drop("hot", "first").join(repeated.select("digest", "first").hint("merge"), "digest", "left")
+    keys = F.broadcast(hot.select("digest"))
+    often = large.join(keys, "digest", "left_semi").join(F.broadcast(hot), "digest", "left")
+    rest = large.join(keys, "digest", "left_anti").join(repeated.select("digest", "first").hint("merge"), "digest", "left")
     return small.withColumn("first", F.lit(None).cast("long")).unionByName(often).unionByName(rest)
 
 
