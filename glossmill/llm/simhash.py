@@ -1,10 +1,12 @@
 """SimHash near-duplicate groups found with vantage-point trees over Hamming distance.
 
-Fingerprints are computed per document, equal ones collapse to one row, and a vantage-point tree fitted on a bounded
-sample deals the distinct fingerprints to shards. A fingerprint lives in one shard and visits every later shard that its
-ball overlaps, so that each close pair meets exactly once. Each block of a shard builds its own tree, prunes it
-by the triangle bounds, and emits a spanning forest instead of all pairs. Components come from min-label propagation
-with pointer jumping; nothing about all documents reaches the driver.
+Fingerprints are computed per document, and equal ones collapse to one row. Their 64 bits are cut into segments, one more than the
+radius, so that two within the radius agree in a whole segment. A vantage-point tree over the values of each segment deals the distinct
+fingerprints to shards: equal values fall into the same shard, so that a fingerprint lives in one shard of each segment and visits no other,
+and each close pair meets in at least one. Shards too large for a block, which hold one value of a segment alone, are dealt in pairs of
+blocks. Each shard builds its own tree over all 64 bits, prunes it by the triangle bounds, and emits a spanning forest instead of all
+pairs. Components come from min-label propagation with pointer jumping; of all documents the driver gets only how many fingerprints
+hold each value of a segment (at most 2 ** 13 values a segment).
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero, linked like any other; rows with a
 null doc_id get a fingerprint and the component of their group (null if the whole group has no id); each row is a row of its own, so that repeated
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import hot_keys, join_by, materialize, prepare, with_row_id
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints in the sample that the shard tree is fitted on; every fingerprint is indexed.
-SAMPLE = 8192
-#: Aimed number of fingerprints in a shard, most in a member block and most in a query block.
-SHARD, MEMBERS, QUERIES = 32768, 32768, 8192
+#: Segments at least, so that a segment has 13 bits at most.
+SEGMENTS = 5
+#: Most fingerprints in a shard of more than one value of its segment, and about the most in a block of a shard.
+SHARD, BLOCK = 4096, 8192
 LEAF = 512
 
 
@@ -67,37 +69,41 @@ def distances(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def segments(radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the segments, of which two fingerprints within the radius share one."""
+    n = min(65, max(SEGMENTS, radius + 1))
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class ShardTree:
-    """A vantage-point tree whose leaves are shards. Inner node: (vantage, radius, inside, outside)."""
+    """A vantage-point tree over the values of a segment, whose leaves are shards. Inner node: (vantage, radius, inside, outside)."""
 
-    def __init__(self, sample: np.ndarray, depth: int):
-        self.shards = 0
-        self.root = self._build(sample, depth)
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        self.sizes: list[int] = []
+        self.root = self._build(values, counts)
 
-    def _build(self, points: np.ndarray, depth: int):
-        if depth > 0 and len(points) >= 32:
-            vantage = points[0]
-            d = distances(points, vantage)
-            radius = int(np.median(d))
+    def _build(self, values: np.ndarray, counts: np.ndarray):
+        if len(values) > 1 and counts.sum() > SHARD:
+            d = distances(values, values[0])
+            by = np.cumsum(np.bincount(d, counts))
+            radius = min(int(np.searchsorted(by, by[-1] / 2)), int(d.max()) - 1)  # the median, with something outside
             inside = d <= radius
-            if 0 < inside.sum() < len(points):
-                return (vantage, radius, self._build(points[inside], depth - 1), self._build(points[~inside], depth - 1))
-        self.shards += 1
-        return self.shards - 1
-
-    def visit(self, points: np.ndarray, reach: int) -> list[tuple[int, np.ndarray]]:
-        """(shard, indexes of the points whose ball of that reach overlaps it); reach 0 gives each point's own shard."""
-        found, stack = [], [(self.root, np.arange(len(points)))]
+            return (values[0], radius, self._build(values[inside], counts[inside]), self._build(values[~inside], counts[~inside]))
+        self.sizes.append(int(counts.sum()))
+        return len(self.sizes) - 1
+
+    def shard(self, values: np.ndarray) -> np.ndarray:
+        """The shard of each value."""
+        found, stack = np.zeros(len(values), np.int64), [(self.root, np.arange(len(values)))]
         while stack:
             node, at = stack.pop()
-            if not len(at):
-                continue
             if isinstance(node, int):
-                found.append((node, at))
-                continue
-            vantage, radius, inside, outside = node
-            d = distances(points[at], vantage).astype(np.int16)
-            stack += [(inside, at[d - reach <= radius]), (outside, at[d + reach > radius])]
+                found[at] = node
+            elif len(at):
+                vantage, radius, inside, outside = node
+                near = distances(values[at], vantage) <= radius
+                stack += [(inside, at[near]), (outside, at[~near])]
         return found
 
 
@@ -164,56 +170,63 @@ def join_near(members: np.ndarray, queries: np.ndarray, radius: int, forest: For
                         forest.link(q[j : j + 256], block, near)
 
 
+def _values(points: np.ndarray, start: int, bits: int) -> np.ndarray:
+    return points >> np.uint64(start) & np.uint64(2**bits - 1) if bits else np.zeros(len(points), np.uint64)
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: a spanning forest of the links within the radius between the values of the column fp (distinct longs)."""
+    """a, b: links within the radius between the values of the column fp (distinct longs), a spanning forest of those of each shard."""
     spark = distinct.sparkSession
-    n = distinct.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
-    # The smallest hashes; the filter leaves about twice the sample, so that no task sends much more than its share.
-    few = F.shiftrightunsigned(F.xxhash64("fp"), 1) <= min(2**63 - 1, int(2 * SAMPLE / max(1, n) * 2**63))
-    sample = [r[0] for r in distinct.filter(few).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
-    tree = ShardTree(np.array(sample, np.int64).view(np.uint64), depth)
+    prepare(spark)
+    parts = segments(radius)
+    cells = [F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("fp", start).bitwiseAND(2**bits - 1).alias("value")) for i, (start, bits) in enumerate(parts) if bits]
+    held = distinct.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell.segment", "cell.value").agg(F.count("*").alias("n")).orderBy("segment", "value").toPandas()
+    n = int(held["n"][held["segment"] == held["segment"].min()].sum())
+    if n <= SHARD:
+        parts = [(0, 0)]
+    trees = []
+    for i, (_, bits) in enumerate(parts):
+        own = held[held["segment"] == i]
+        trees.append(ShardTree(own["value"].to_numpy(np.uint64), own["n"].to_numpy(np.int64)) if bits else ShardTree(np.zeros(1, np.uint64), np.array([n])))
+    blocks = np.maximum(1, -(-np.concatenate([t.sizes for t in trees]).astype(np.int64) // BLOCK))
+    # A shard of b blocks has b * b numbers, of which those of pairs of blocks in order are groups that one task compares.
+    first_shard, first_group = np.cumsum([0, *(len(t.sizes) for t in trees)]), np.cumsum(blocks * blocks) - blocks * blocks
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(points: np.ndarray):
-            home = np.empty(len(points), np.int64)
-            for shard, at in tree.visit(points, 0):
-                home[at] = shard
-                for k in range(0, len(at), MEMBERS):
-                    yield shard, True, points[at[k : k + MEMBERS]].tobytes()
-            for shard, at in tree.visit(points, radius):
-                at = at[home[at] <= shard]
-                for k in range(0, len(at), QUERIES):
-                    yield shard, False, points[at[k : k + QUERIES]].tobytes()
-
-        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-            out = list(rows(np.concatenate(parts)))
-            return pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["shard", "member", "points"])
-
-        parts: list[np.ndarray] = []
         for batch in batches:
-            parts.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            if sum(map(len, parts)) >= MEMBERS:
-                yield packed(parts)
-                parts = []
-        if parts:
-            yield packed(parts)
-
-    dealt = materialize(distinct.select("fp").mapInArrow(deal, "shard int, member boolean, points binary"), "simhash-shards")
-    members = dealt.filter("member").select("shard", F.col("points").alias("members"))
-    queries = dealt.filter("not member").select("shard", F.col("points").alias("queries"))
+            points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            mixed = (points ^ points >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            for (start, bits), tree, base in zip(parts, trees, first_shard, strict=False):
+                shard = base + tree.shard(_values(points, start, bits))
+                many = blocks[shard]
+                block = mixed.astype(np.int64) % many
+                for k in range(int(many.max(initial=0))):
+                    at = np.flatnonzero(many > k)
+                    low, high = np.minimum(block[at], k), np.maximum(block[at], k)
+                    group = first_group[shard[at]] + low * many[at] + high
+                    yield pa.record_batch([pa.array(group), pa.array(block[at] > low), pa.array(points[at].view(np.int64))], ["group", "second", "fp"])
+
+    def linked(second: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
+        forest, points = Forest(), points.view(np.uint64)
+        join_near(points[~second], points[second] if second.any() else points, radius, forest)
+        edges = np.array(forest.edges, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)]
         for batch in batches:
-            for m, q in zip(batch.column("members"), batch.column("queries"), strict=True):
-                forest = Forest()
-                join_near(np.frombuffer(m.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), radius, forest)
-                edges = np.array(forest.edges, np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+            group, second, points = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(rest, batch.columns, strict=True))
+            ends = np.flatnonzero(np.diff(group)) + 1
+            for a, b in zip([0, *ends[:-1]], ends, strict=False):
+                yield linked(second[a:b], points[a:b])
+            last = ends[-1] if len(ends) else 0  # the last group may go on in the next batch
+            rest = [group[last:], second[last:], points[last:]]
+        if len(rest[0]):
+            yield linked(*rest[1:])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    pairs = members.join(queries, "shard").repartition(tasks)
-    return pairs.mapInArrow(search, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(deal, "group long, second boolean, fp long").repartition(tasks, "group").sortWithinPartitions("group")
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

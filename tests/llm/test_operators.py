@@ -637,6 +637,37 @@ def test_trees_lose_no_link(spark, monkeypatch, shard, leaf):
         assert {label.get(x, x) for x in members} == {min(members)}
 
 
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_shuffled_fingerprints_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 128)
+    sent = []
+    for n in (4000, 16000):
+        before = shuffled(spark)
+        assert simhash.near_links(spark.range(n).selectExpr("xxhash64(id) AS fp")).count() < 10
+        sent.append(shuffled(spark) - before)
+    assert sent[1] < 6 * sent[0]
+
+
+def test_large_shards_lose_no_link(spark, monkeypatch):
+    """All fingerprints share the value of two segments, whose one shard is compared in pairs of blocks."""
+    monkeypatch.setattr(simhash, "SHARD", 20)
+    monkeypatch.setattr(simhash, "BLOCK", 30, raising=False)
+    rng = random.Random(3)
+    fps = sorted({rng.getrandbits(12) << 20 | rng.getrandbits(3) for _ in range(300)})
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 1)
+    found = simhash.components(links).collect()
+    near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 1]
+    assert {r.node for r in found} == {x for pair in near for x in pair}
+    label = {r.node: r.label for r in found}
+    assert all(label[a] == label[b] for a, b in near) and all((r.a ^ r.b).bit_count() == 1 for r in links.collect())
+
+
 # op10
 
 
