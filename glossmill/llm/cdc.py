@@ -9,7 +9,8 @@ LEAST bytes or more are repeats; of each chunk in them the first occurrence (by
 can go. A repeated passage of SURE bytes or more is always found, whatever its words are; none of fewer than LEAST bytes is reported.
 
 Only digests, row numbers and offsets are shuffled, never texts. Chunks are counted by digest with partial aggregation; only those that
-occur twice are looked at again, and a digest that holds a large share of all chunks is never gathered in one task.
+occur twice are looked at again, and a digest that holds a large share of all chunks is never gathered in one task: its chunks are joined to
+stretches where they are read, and a stretch is one row from there on.
 
 Defined cases: null and empty texts have no chunks; a text too short for another chunk is one chunk; each row is a text of its own, also if its
 doc_id is null or repeated or the whole row is, so that of equal rows the first stays; repeats within a text count like those between
@@ -133,6 +134,31 @@ def chunk_table(docs: DataFrame, gap: int = GAP) -> DataFrame:
     return rows.mapInArrow(run, _CHUNKS)
 
 
+def stretches(pieces: DataFrame, origins: dict[int, tuple[int, int]]) -> DataFrame:
+    """n, digest, first, start, end, later of each stretch of pieces (digest, n, span) that follow each other in a text and overlap or touch, joined as they are read.
+
+    origins: n and span of the first place of each digest of pieces."""
+    keys = np.array(sorted(origins), np.int64)
+    first_n, first_span = (np.array([origins[k][i] for k in keys.tolist()], np.int64) for i in range(2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            digest, n, span = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            start, end, of = (span >> 32).astype(np.int32), (span & 0xFFFFFFFF).astype(np.int32), np.searchsorted(keys, digest)
+            later = (first_n[of] != n) | (first_span[of] != span)
+            goes_on = (n[1:] == n[:-1]) & (start[1:] >= start[:-1]) & (start[1:] <= end[:-1])
+            at = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+            counts = np.add.reduceat(later.astype(np.int32), at)
+            gone = pa.StructArray.from_arrays([pa.array(start[later]), pa.array(end[later])], ["start", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), gone)
+            columns = [pa.array(x) for x in (n[at], digest[at], counts == 0, start[at], np.maximum.reduceat(end, at))]
+            yield pa.record_batch([*columns, lists], ["n", "digest", "first", "start", "end", "later"])
+
+    return pieces.select("digest", "n", "span").mapInArrow(run, "n long, digest long, first boolean, start int, end int, later array<struct<start:int,end:int>>")
+
+
 def repeated_spans(docs: DataFrame, gap: int = GAP, least: int = LEAST) -> DataFrame:
     """doc_id, row, start, end (bytes of the text in UTF-8), digest (of the first chunk), first (all its chunks occur here first), later (the others) of each repeat.
 
@@ -145,18 +171,18 @@ def repeated_spans(docs: DataFrame, gap: int = GAP, least: int = LEAST) -> DataF
     several = materialize(pieces.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1"), "cdc-digests")
     hot = materialize(hot_keys(several, "digest", "times").select("digest"), "cdc-hot")
     # Where a chunk stands first: a hot digest's place by partial aggregation, the others' within the partitions of the join.
-    here = F.struct("n", "span")
-    hot_first = materialize(pieces.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest").agg(F.min(here).alias("origin")), "cdc-hot-first")
-    origins = hot_first.select("digest", "origin.*", F.lit(True).alias("found"))
-    often = pieces.join(F.broadcast(hot), "digest", "left_semi").join(F.broadcast(origins), ["digest", "n", "span"], "left")
-    often = often.withColumn("first", F.coalesce("found", F.lit(False))).drop("found")
+    hot_pieces = pieces.join(F.broadcast(hot), "digest", "left_semi")
+    origins = hot_pieces.groupBy("digest").agg(F.min(F.struct("n", "span")).alias("origin")).select("digest", "origin.*").collect()  # fewer than HOT
+    often = stretches(hot_pieces, {r.digest: (r.n, r.span) for r in origins})
     rest = pieces.join(F.broadcast(hot), "digest", "left_anti").join(several.select("digest").hint("merge"), "digest", "left_semi")
     rest = rest.withColumn("first", F.row_number().over(Window.partitionBy("digest").orderBy("n", "span")) == 1)
-    twice = often.unionByName(rest).select("n", "digest", "first", F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"))
-    # Chunks of a run overlap or touch: each begins no later than the one before it ends.
+    rest = rest.select("n", "digest", "first", F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"))
+    twice = often.unionByName(rest.withColumn("later", F.when(~F.col("first"), F.array(F.struct("start", "end")))))
+    # Chunks of a run overlap or touch: each begins no later than those before it end.
     order = Window.partitionBy("n").orderBy("start")
-    runs = twice.withColumn("new", F.when(F.col("start") <= F.lag("end").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    joined = runs.groupBy("n", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("digest", "start").alias("digest"), F.bool_and("first").alias("first"), F.collect_list(F.when(~F.col("first"), F.struct("start", "end"))).alias("later"))
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = twice.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    joined = runs.groupBy("n", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("digest", "start").alias("digest"), F.bool_and("first").alias("first"), F.flatten(F.collect_list("later")).alias("later"))
     named = written.filter("digest IS NULL").select("n", "doc_id", "row")
     return joined.filter(F.col("end") - F.col("start") >= least).join(named, "n").select("doc_id", "row", "start", "end", "digest", "first", "later")
 

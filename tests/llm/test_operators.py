@@ -292,6 +292,24 @@ def test_repeats_are_found_and_clean_texts_left(spark, empty, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_chunks_of_common_passages_are_joined_as_they_are_read(spark, monkeypatch):
+    """A common passage is one row in each text when it comes to the runs, and no lookup can multiply it."""
+    monkeypatch.setattr(cdc, "hot_keys", lambda counts, key, n: counts.filter("times > 3"))
+    rng = random.Random(8)
+    passage, rows = words(rng, 60, 10**6), []
+    for i in range(80):
+        rows.append((i, f"{words(rng, 20, 10**6)} {passage} {words(rng, 20, 10**6)}"))
+    spans = cdc.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    kinds = Counter(re.findall(r"\bJoin (\w+)", spans._jdf.queryExecution().optimizedPlan().toString()))
+    assert set(kinds) == {"LeftSemi", "LeftAnti", "Inner"} and kinds["Inner"] == 1  # the last one names the rows
+    found = spans.collect()
+    assert len(found) == 80 and [r.doc_id for r in found if r.first] == [0]
+    assert all(len(r.later) > 5 for r in found if r.doc_id) and not found[[r.doc_id for r in found].index(0)].later
+    pieces = [(i % 2, n, 40 * i << 32 | 40 * i + 50) for n in range(70) for i in range(30)]
+    joined = cdc.stretches(spark.createDataFrame(pieces, "digest long, n long, span long").coalesce(1), {0: (0, 50), 1: (0, 40 << 32 | 90)}).collect()
+    assert [(r.n, r.first, r.start, r.end, len(r.later)) for r in joined] == [(n, False, 0, 1210, 30 - 2 * (n == 0)) for n in range(70)]
+
+
 # op3
 
 
