@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ CITATION = (
     r"\bčl\.|\bčlen\w*|\bodst\.|\bodstav\w*|\btočk\w*|\balinej\w*|\bUstav\w*|\bEKČP\b|\bEKPČ\b|\bKonvencij\w*"
     r"|\b(?:KZ|ZKP|ZPP|ZUP|ZIZ|ZUS|ZDR|ZGD|ZPIZ|ZDavP|ZFPPIPP|ZASP|OZ|SPZ)\b(?:-\d+[A-Z]?)?|\bUradni\s+list\b|\bUr\.\s?l\."
 )
-CUT = "\ue000"
+CUT, HELD = "\ue000", "\ue001"
 
 
 def _col(c) -> Column:
@@ -50,8 +52,12 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: Fixed value: all white space, the same as \\s with Unicode classes.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def lines(c) -> Column:
@@ -79,6 +85,21 @@ def words(c) -> Column:
 
 
 _WHOLE = "(?U)^(?:" + "|".join(VERBATIM) + ")$"
+# Of each of VERBATIM, in order: texts without any of these signs hold no match and aren't searched.
+_SIGNS = [["/"], ["-", "/"], ["."], ["EUR", "USD", "CHF", "€", "$"], ["-"], [], [], [], ["-", "/"], ["@"], ["http"]]
+# Those that are lists of words, and the letters that words begin with, which are looked for before the edge of a word, as that takes longer.
+_WORDS = {i: VERBATIM[i].removeprefix(r"\b(?:").removesuffix(r")\b").split("|") for i in (5, 6, 7)}
+_FIRST = {4: "(?=[A-ZČŠŽ])", 5: "(?=[ZUEOSK])", 6: "(?=[EUCGS])"}
+
+
+def verbatim_without(c, other: Column) -> Column:
+    """The fragments that are reproduced verbatim, by pattern, then place; those that other has may be left out."""
+    s, none = _col(c), F.array().cast("array<string>")
+    found = []
+    for i, (pattern, signs) in enumerate(zip(VERBATIM, _SIGNS, strict=True)):
+        held = [s.contains(x) & ~other.contains(x) for x in _WORDS[i]] if i in _WORDS else [s.contains(x) for x in signs]
+        found.append(F.when(reduce(Column.__or__, held), F.regexp_extract_all(s, F.lit(f"(?U){_FIRST.get(i, '')}{pattern}"), F.lit(0))).otherwise(none))
+    return F.concat(*found)
 
 
 def is_translatable(c) -> Column:
@@ -132,28 +153,52 @@ def _in_24_hours(m: Column) -> Column:
     return F.concat(F.when(hour < 10, "0").otherwise(""), hour.cast("string"), F.lit(":"), part(2))
 
 
+def _prefix_tree(names: list[str]) -> str:
+    """A pattern of these names that looks at each letter once."""
+    heads = sorted({x[0] for x in names if x})
+    tails = "|".join(h + _prefix_tree([x[1:] for x in names if x[:1] == h]) for h in heads)
+    return f"(?:{tails}){'?' * ('' in names)}" if heads else ""
+
+
+_NUMBER_OF = {x: str(n) for n, names in MONTHS.items() for x in names.split()}
+_MONTH = rf"(?iuU)(?=[{''.join(sorted({x[0] for x in _NUMBER_OF}))}])\b{_prefix_tree(list(_NUMBER_OF))}\b"
+
+_MONTH_BEGINS = _prefix_tree(sorted({x[:3] for x in _NUMBER_OF}))
+
+
+def _with_months(s: Column) -> Column:
+    """A month is a whole word. The text is cut where the pattern sees one (a split by a pattern would compile it for each text); what it takes for one by other foldings of case stays."""
+    table = F.create_map(*[F.lit(x) for pair in _NUMBER_OF.items() for x in pair])
+    number = lambda x: F.when(F.lower(x).isin(*_NUMBER_OF), F.element_at(table, F.lower(x))).otherwise(x)
+    # A sign that stands for a cut in the text itself is set aside.
+    plain = F.replace(s, F.lit(CUT), F.lit(HELD))
+    told = let(F.regexp_replace(plain, _MONTH, f"{CUT}$0{CUT}"), lambda m: F.when(m.contains(CUT), F.array_join(F.transform(F.split(m, CUT), number), "")).otherwise(m))
+    return F.when(s.contains(HELD), F.array_join(F.transform(F.split(s, r"(?U)\b"), number), "")).otherwise(F.replace(told, F.lit(HELD), F.lit(CUT)))
+
+
 def canon_locale(c) -> Column:
     """Clock times in 24 hours and month names as numbers."""
     s = F.coalesce(_col(c), F.lit(""))
     found = F.regexp_extract_all(s, F.lit(f"(?i){_HALF_DAY}"), F.lit(0))
     timed = F.array_join(F.zip_with(F.split(s, f"(?i){_HALF_DAY}", -1), found, lambda rest, m: F.concat(rest, F.coalesce(_in_24_hours(m), F.lit("")))), "")
-    timed = F.when(s.rlike(r"(?i)\d:\d\d\s*[ap]\.?\s*m"), timed).otherwise(s)
-    # A month is a whole word: the text falls into words and what stands between, and only words are looked up.
-    number = {x: str(n) for n, names in MONTHS.items() for x in names.split()}
-    table = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
-    word = lambda x: F.when(F.lower(x).isin(*number), F.element_at(table, F.lower(x))).otherwise(x)
-    return F.array_join(F.transform(F.split(timed, r"(?U)\b"), word), "")
+    timed = F.when(s.contains(":") & s.rlike(r"(?i)\d:\d\d\s*[ap]\.?\s*m"), timed).otherwise(s)
+    return F.when(F.lower(s).rlike(_MONTH_BEGINS), let(timed, _with_months)).otherwise(timed)
+
+
+def _digits(x: Column, others: str) -> Column:
+    return F.translate(x, others, "")
 
 
 def numbers(c) -> Column:
     """Digits of the numbers in a text, without leading zeros, after canon_locale."""
     found = F.regexp_extract_all(canon_locale(c), F.lit(NUMBER), F.lit(0))
-    return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"\D", ""), r"^0+(?=.)", ""))
+    plain = F.transform(found, lambda x: _digits(x, ".,:/\u2013-"))
+    return F.transform(plain, lambda x: F.when(x.startswith("0"), F.regexp_replace(x, r"^0+(?=.)", "")).otherwise(x))
 
 
 def number_sequence(c) -> Column:
     found = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(NUMBER_SEQUENCE), F.lit(0))
-    return F.transform(found, lambda x: F.regexp_replace(x, r"\D", ""))
+    return F.transform(found, lambda x: _digits(x, ".,:/-"))
 
 
 def more_in(a: Column, b: Column) -> Column:
