@@ -65,13 +65,16 @@ def lines(c) -> Column:
 
 
 _ENDS = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-_HELD = rf"(?U)((?:\b(?iu:{_ENDS})|\b[IVXLCDM]+|\b[A-ZČŠŽÄÖÜ]|(?<![^\s{CUT}])\d{{1,3}}(?:\.\d{{1,3}})*|\b[a-zčšžćđ])\.){CUT}"
+_HELD = rf"(?U)(?:\b(?iu:{_ENDS})|\b[IVXLCDM]+|\b[A-ZČŠŽÄÖÜ]|(?<![^\s])\d{{1,3}}(?:\.\d{{1,3}})*|\b[a-zčšžćđ])\.\z"
 
 
 def segment(c) -> Column:
     """Review-sized segments: lines, cut after sentence ends unless these end an abbreviation, initial, numeral or number."""
-    marked = F.transform(lines(c), lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"([.!?:;])\s+", "$1" + CUT), _HELD, "$1 "))
-    return F.filter(F.transform(F.flatten(F.transform(marked, lambda x: F.split(x, CUT))), strip), lambda x: x != "")
+    marked = F.transform(lines(c), lambda x: F.regexp_replace(strip(x), r"([.!?:;])\s+", "$1" + CUT))
+    # What holds a cut back stands in the last word before it, so that no more than this word is searched.
+    held = lambda x: x.endswith(".") & F.substring_index(x, " ", -1).rlike(_HELD)
+    joined = F.transform(F.split(F.array_join(marked, "\n"), CUT), lambda x: F.concat(x, F.when(held(x), " ").otherwise(CUT)))
+    return F.filter(F.transform(F.split(F.translate(F.array_join(joined, ""), "\n", CUT), CUT), strip), lambda x: x != "")
 
 
 def tokens(c) -> Column:

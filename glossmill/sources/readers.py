@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -45,8 +45,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def block_units(docs: DataFrame) -> DataFrame:
     """doc_id, block_ord, unit_ord, unit: the segments of each block; a block without any is a unit itself."""
-    found = T.segment("block")
-    return blocks(docs).select("doc_id", "block_ord", F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array("block"))).alias("unit_ord", "unit"))
+    units = T.let(T.segment("block"), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array("block")))
+    return blocks(docs).select("doc_id", "block_ord", F.posexplode(units).alias("unit_ord", "unit"))
 
 
 def word_list(spark: SparkSession, path: str, encoding: str | None = None, fallback: str = "ISO-8859-2") -> DataFrame:
@@ -81,10 +81,14 @@ def tab_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def confidence_words(lines: DataFrame, page: str = "page") -> DataFrame:
     """page, block, par, line, word_ord, conf, word of the rows of a word-confidence table. lines: page, value (tab-separated); rows with fewer than 12
     columns, a blank word, no confidence or the header are left out."""
-    c = F.split("value", "\t", -1)
-    at = lambda i: F.get("c", F.lit(i))
-    found = lines.select(page, c.alias("c")).filter((F.size("c") >= 12) & (T.strip(at(11)) != "") & ~at(10).isin("-1", "conf") & at(10).try_cast("double").isNotNull())
-    return found.select(page, *[at(i).try_cast("int").alias(n) for i, n in ((2, "block"), (3, "par"), (4, "line"), (5, "word_ord"))], at(10).try_cast("double").alias("conf"), at(11).alias("word"))
+    def row(c: Column) -> Column:
+        at = lambda i: F.get(c, F.lit(i))
+        told = (F.size(c) >= 12) & (T.strip(at(11)) != "") & ~at(10).isin("-1", "conf") & at(10).try_cast("double").isNotNull()
+        cells = F.struct(*[at(i).try_cast("int").alias(n) for i, n in ((2, "block"), (3, "par"), (4, "line"), (5, "word_ord"))], at(10).try_cast("double").alias("conf"), at(11).alias("word"))
+        return F.when(told, F.array(cells))
+
+    # One generator: as a filter below a projection the test would split each line anew wherever it looks at a cell.
+    return lines.select(page, F.inline(T.let(F.split("value", "\t", -1), row)))
 
 
 def word_confidences(spark: SparkSession, root: str) -> DataFrame:
