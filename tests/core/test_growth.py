@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glossmill import catalog
 from glossmill.functions import locale as L
 from glossmill.functions import text as T
-from glossmill.operators import lint
+from glossmill.operators import lint, ocr
 from glossmill.plans import tables as P
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,13 @@ def test_a_report_is_dealt_out_before_it_is_sorted(spark):
     assert re.search(r"Sort .*\n(.*\n)*.*Rebalance", plan(found))
     rows = [(lint.ORDER.index(r.check), r.source) for r in found.collect()]
     assert rows == sorted(rows) and rows
+
+
+def test_pages_in_rows_are_those_of_the_words(spark):
+    """Also where doc_ids repeat or are null; without repeats nothing is shuffled."""
+    rows = [(1, "OCR_ILLEGIBLE a bb ccc " * 9), (2, "x yy zzz " * 7), (2, "q " * 33), (None, "n o p"), (3, None), (4, " ")]
+    for n in (len(rows), 2):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        found = ocr.page_lines(P.ocr_pages(docs, ocr.readable), "page")
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, ocr.lines(P.ocr_words(docs), ["page", "line"]).collect()))
+        assert n > 2 or "Aggregate" not in plan(found)
